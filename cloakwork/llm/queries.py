@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloakwork.llm import ann, langid, mixing, packing, pii, quality
+from cloakwork.llm import ann, langid, licenses, linededup, minhash, mixing, packing, pii, quality, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,14 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeats(_table(spark, sf_dir, "documents"))
+
+
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op4_permutation_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"))
 
@@ -23,6 +31,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(_table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(_table(spark, sf_dir, "documents"))
 
@@ -31,10 +43,17 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.summary(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.score(_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_permutation_ann, op5_language_id, op7_pii, op8_mixing, op10_quality)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_packing, op2_substring, op3_minhash, op4_permutation_ann, op5_language_id, op6_licenses, op7_pii, op8_mixing, op9_lines, op10_quality)
+}
 ORACLES = {"op8_mixing": mixing.ORACLE}
