@@ -105,7 +105,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     joined = body.join(chosen, F.col("_id0").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_src")) & (F.col("_t0") == F.col("_t")) & (F.col("_nth0") == F.col("_nth")))
     each = joined.withColumn("_round", F.explode(F.expr("sequence(0, int(ceil(taken / _size)) - 1)")))
     words = F.least(F.col("_size"), F.col("taken") - F.col("_round") * F.col("_size"))
-    head = F.expr(r"regexp_extract(text, concat('^(?:[\\x20\\x09-\\x0D]*+[^\\x20\\x09-\\x0D]++){', _words, '}'), 0)")
+    head = F.expr(r"regexp_extract(text, concat('^(?:[\\x20\\x09-\\x0D]*+[^\\x20\\x09-\\x0D]++){', _words, '}+'), 0)")
     each = each.withColumn("_words", words.cast("string")).withColumn("_cut", words < F.col("_size"))
     each = each.withColumn("text", F.when(F.col("_cut"), head).otherwise(F.col("text")))
     if "n_chars" in columns:
