@@ -1,9 +1,10 @@
 """Approximate nearest neighbours by a permutation index.
 
 PIVOTS vectors, a bounded sample, order every vector: its permutation is the PREFIX nearest pivots. The
-index is cut to shards of about SHARD vectors; within one, each pivot's inverted file holds the vectors
-that have it in their prefix, with its place there. A query goes through the files of its own pivots and
-sums up how far places differ (Spearman's footrule, with the place after the last for absent pivots). The
+index is cut to shards of about SHARD vectors; within one, each pivot's inverted file holds its place in
+every vector's prefix (the place after the last where it is absent: prefixes name half of all pivots, so
+files are dense). A query reads the files of its own pivots only and sums up how far places differ
+(Spearman's footrule; what absent pivots add follows from the same sums). The
 SHARE of each shard that is least far is reranked by the inner product, in double precision; the best of
 all shards are the result. Queries meet shards in blocks of about BLOCK; no task holds more than one of
 each. SHARE applies alike at every size, so recall does not fall as tables grow.
@@ -46,18 +47,18 @@ def prefixes(vectors: np.ndarray, pivots: np.ndarray, m: int) -> np.ndarray:
 def search_shard(ids: np.ndarray, vectors: np.ndarray, own: np.ndarray, q_ids: np.ndarray, queries: np.ndarray, q_own: np.ndarray, pivots: int, top: int, share: float = SHARE, least: int = LEAST):
     """Rows (query, vector, score): the best of one shard, whose rows are in order of id."""
     n, m = own.shape
-    flat = own.ravel()
-    order = np.argsort(flat, kind="stable")
-    cuts = np.searchsorted(flat[order], np.arange(pivots + 1))
-    holder, place = order // m, (order % m + 1).astype(np.int32)
-    files = [(holder[a:b], place[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+    kind = np.int16 if m * (m + 1) < 1 << 15 else np.int32
+    files = np.full((pivots, n), m + 1, kind)
+    files[own.T, np.arange(n)] = np.arange(1, m + 1, dtype=kind)[:, None]
+    places = np.arange(1, m + 1, dtype=kind)[:, None]
     wanted = min(n, max(least, top + 1, int(np.ceil(share * n))))
     out = []
     for q, vector, prefix in zip(q_ids, queries, q_own):
-        far = np.full(n, m * (m + 1), np.int64)
-        for at, pivot in enumerate(prefix, 1):
-            who, where = files[pivot]
-            far[who] += np.abs(where - at) - (m + 1 - at) - (m + 1 - where)
+        # Footrule: over the query's pivots, how far places differ; over the rest, how far a vector's stand before the last.
+        read = files[prefix]
+        far = read.sum(axis=0, dtype=kind).astype(np.int64)
+        read -= places
+        far += np.abs(read, out=read).sum(axis=0, dtype=kind)
         key = far * n + np.arange(n)
         near = np.argpartition(key, wanted - 1)[:wanted] if wanted < n else np.arange(n)
         near = near[ids[near] != q]
