@@ -17,19 +17,20 @@ from pyspark.sql import functions as F
 from cloakwork.llm.scratch import stash
 
 
+def settled(edges: DataFrame) -> bool:
+    """Whether edges (u, v) are stars already: no u has two edges or is another's v."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR (up = 1 AND down = 1)").isEmpty()
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root): the smallest node each node of edges (a, b) is connected with, itself included.
 
-    Alternates large-star and small-star steps until the edges no longer change. Null ends are dropped.
+    Alternates large-star and small-star steps until the edges are stars. Null ends are dropped.
     """
     edges = edges.filter(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
     now = stash(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
-    before = None
-    while True:
-        mark = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if mark == before:
-            break
-        before = mark
+    while not settled(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
