@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloakwork.llm.graph import crowded, link
-from cloakwork.llm.scratch import stash
+from cloakwork.llm.scratch import stash, unpacked, whole
 from cloakwork.llm.textkit import U64, mix, shingles, words_of
 
 SIMILARITY = 0.8
@@ -220,7 +220,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """docs without those that another of their class stays for: the row with the smallest doc_id (then text) of each class."""
     named = classes(docs)
     kept = named.filter(F.col("node").isNotNull()).groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").alias("d"), F.col("node").alias("k"))).alias("m")).select("m.d", "m.k")
-    keyed = docs.select("*", text_key(F.col("text")).alias("_node"))
-    nth = F.row_number().over(Window.partitionBy("_node", F.col("doc_id")).orderBy(F.lit(0)))
-    chosen = keyed.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("d")) & (F.col("_node") == F.col("k"))).withColumn("_nth", nth).filter("_nth = 1").select(*docs.columns)
-    return chosen.unionByName(docs.filter(F.col("text").isNull()))
+    keyed = docs.select(whole(docs), F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("_node"))
+    chosen = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("_node") == F.col("k")))
+    nth = F.row_number().over(Window.partitionBy("_node", "doc_id").orderBy(F.lit(0)))
+    chosen = chosen.withColumn("_nth", nth).filter("_nth = 1")
+    return chosen.unionByName(keyed.filter(F.col("_node").isNull()), allowMissingColumns=True).select(*unpacked(docs))

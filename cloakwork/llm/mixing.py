@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloakwork.llm.scratch import stash
+from cloakwork.llm.scratch import stash, unpacked, whole
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -94,24 +94,24 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
     A document cut at the border keeps its first words and, where there is a column n_chars, its new length.
     """
-    columns = docs.columns
     rows = plan(docs, weights, share, repeats).filter("taken > 0")
     chosen = rows.select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("_text_key").alias("_t"), "taken", F.col("size").alias("_size"), "source_size", "target", "first_finish")
     # Repeated rows share doc_id, source and text: each is numbered, so that it meets its own plan row.
-    same = Window.partitionBy("_id", "_src", "_t").orderBy("first_finish", "taken")
-    chosen = chosen.withColumn("_nth", F.row_number().over(same))
-    body = docs.select("*", F.col("doc_id").cast("long").alias("_id0"), F.coalesce(F.md5(F.col("text").cast("string").cast("binary")), F.lit("")).alias("_t0"))
-    body = body.withColumn("_nth0", F.row_number().over(Window.partitionBy("_id0", F.col("source"), "_t0").orderBy(F.lit(0))))
-    joined = body.join(chosen, F.col("_id0").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_src")) & (F.col("_t0") == F.col("_t")) & (F.col("_nth0") == F.col("_nth")))
+    chosen = chosen.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_src", "_t").orderBy("first_finish", "taken")))
+    text = F.col("text").cast("string")
+    body = docs.select(whole(docs), text.alias("text"), F.col("doc_id").cast("long").alias("_id0"), F.col("source").cast("string").alias("_src0"), F.coalesce(F.md5(text.cast("binary")), F.lit("")).alias("_t0"))
+    body = body.withColumn("_nth0", F.row_number().over(Window.partitionBy("_id0", "_src0", "_t0").orderBy(F.lit(0))))
+    joined = body.join(chosen, F.col("_id0").eqNullSafe(F.col("_id")) & F.col("_src0").eqNullSafe(F.col("_src")) & (F.col("_t0") == F.col("_t")) & (F.col("_nth0") == F.col("_nth")))
     each = joined.withColumn("_round", F.explode(F.expr("sequence(0, int(ceil(taken / _size)) - 1)")))
     words = F.least(F.col("_size"), F.col("taken") - F.col("_round") * F.col("_size"))
+    each = each.withColumn("_cut", words < F.col("_size")).withColumn("_words", words.cast("string"))
     head = F.expr(r"regexp_extract(text, concat('^(?:[\\x20\\x09-\\x0D]*+[^\\x20\\x09-\\x0D]++){', _words, '}+'), 0)")
-    each = each.withColumn("_words", words.cast("string")).withColumn("_cut", words < F.col("_size"))
     each = each.withColumn("text", F.when(F.col("_cut"), head).otherwise(F.col("text")))
-    if "n_chars" in columns:
-        each = each.withColumn("n_chars", F.when(F.col("_cut"), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    changed = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("_cut"), F.char_length("text").cast("long")).otherwise(F.col("_row.n_chars"))
     finish = F.col("first_finish") + F.col("_round") * F.col("source_size") / F.col("target")
-    return each.withColumn("_finish", finish).orderBy("_finish", "_id", "_round").select(*columns)
+    return each.withColumn("_finish", finish).orderBy("_finish", "_id", "_round").select(*unpacked(docs, **changed))
 
 
 ORACLE = """

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,3 +31,13 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def whole(docs: DataFrame) -> Column:
+    """A row's own columns as one struct, so that helper columns cannot clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+
+
+def unpacked(docs: DataFrame, **changed: Column) -> list[Column]:
+    """The own columns again, some of them changed."""
+    return [changed[c].alias(c) if c in changed else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
