@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,7 +63,7 @@ def pseudonymize_documents(spark, sf_dir):
     """Spans, tokens, redacted texts, receipts."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     plan = DeidPlan(("EMAIL", "IP", "PHONE", "DATE"), "gate")
-    spans = plan.spans(d.filter(F.col("text").rlike("[@0-9]")), scope=F.col("source"))
+    spans = plan.spans(d.filter(F.col("text").rlike("[@0-9]")), scope=F.col("source")).persist(StorageLevel.DISK_ONLY)
     redacted, _ = pseudonymize(d, spans)
     return tokens.receipts(redacted)
 
