@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakwork.llm.graph import crowded, link
@@ -222,6 +222,5 @@ def keep_first(docs: DataFrame) -> DataFrame:
     kept = named.filter(F.col("node").isNotNull()).groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").alias("d"), F.col("node").alias("k"))).alias("m")).select("m.d", "m.k")
     keyed = docs.select(whole(docs), F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("_node"))
     chosen = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("_node") == F.col("k")))
-    nth = F.row_number().over(Window.partitionBy("_node", "doc_id").orderBy(F.lit(0)))
-    chosen = chosen.withColumn("_nth", nth).filter("_nth = 1")
+    chosen = chosen.dropDuplicates(["_node", "doc_id"])
     return chosen.unionByName(keyed.filter(F.col("_node").isNull()), allowMissingColumns=True).select(*unpacked(docs))
