@@ -42,16 +42,18 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 
 def crowded(buckets: DataFrame, name: str = "buckets") -> DataFrame:
-    """Rows of buckets (key, node) whose key has two nodes or more; rows must be distinct."""
+    """Rows of buckets (key, node and what else there is) whose key has two nodes or more; rows must be distinct."""
     shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("key")
     return stash(buckets.join(shared, "key"), name)
 
 
-def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int, name: str) -> DataFrame:
+def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int, name: str, far: int | None = None) -> DataFrame:
     """(node, root) of all nodes with a verified link. buckets: a written table (key, node), keys crowded.
 
-    verify takes pairs (a, b), a < b, and returns those that are alike.
+    verify takes pairs (a, b), a < b, and returns those that are alike. With `far`, buckets also have a
+    column sim, and a node whose sim differs from its hub's in more bits is not taken to verification.
     """
+    mark = F.col("sim") if far is not None else F.lit(0)
     edges = labels = tested = None
     for turn in range(rounds):
         rows = buckets
@@ -60,9 +62,10 @@ def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: i
         else:
             rows = rows.withColumn("root", F.col("node"))
         order = F.xxhash64(F.lit(turn), "node")
-        hubs = rows.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("node").alias("hub"), F.col("root").alias("hub_root"))).alias("h"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-        hubs = hubs.filter("lo != hi").select("key", "h.hub", "h.hub_root")
-        pairs = rows.join(hubs, "key").filter("root != hub_root").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        hubs = rows.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("node").alias("hub"), F.col("root").alias("hub_root"), mark.alias("hub_sim"))).alias("h"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        hubs = hubs.filter("lo != hi").select("key", "h.hub", "h.hub_root", "h.hub_sim")
+        near = F.lit(True) if far is None else F.bit_count(F.col("sim").bitwiseXOR(F.col("hub_sim"))) <= far
+        pairs = rows.join(hubs, "key").filter(near & (F.col("root") != F.col("hub_root"))).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stash(pairs, f"{name}-pairs")
