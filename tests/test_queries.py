@@ -1,6 +1,8 @@
 """Every query with an SQL twin, compared with DuckDB at the smallest scale."""
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 from cloakwork import queries, queries_text  # noqa: F401
@@ -17,12 +19,19 @@ def duck():
     return con
 
 
+def cell(v):
+    if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and v != v):
+        return ""
+    if isinstance(v, (bool, np.bool_)):
+        return str(bool(v))
+    if isinstance(v, (int, float, np.number)):
+        return f"{float(v):.6g}"
+    return str([cell(x) for x in v]) if hasattr(v, "__len__") and not isinstance(v, str) else str(v)
+
+
 def plain(frame):
-    frame = frame[sorted(frame.columns)]
-    rows = []
-    for row in frame.itertuples(index=False):
-        rows.append(tuple("" if v is None or v != v else f"{float(v):.6g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(list(v)) if hasattr(v, "__len__") and not isinstance(v, str) else str(v) for v in row))
-    return sorted(frame.columns), sorted(rows)
+    frame = frame[sorted(frame.columns)].astype(object)
+    return list(frame.columns), sorted(tuple(map(cell, row)) for row in frame.itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
