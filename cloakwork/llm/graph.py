@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakwork.llm.scratch import stash
@@ -47,13 +47,13 @@ def crowded(buckets: DataFrame, name: str = "buckets") -> DataFrame:
     return stash(buckets.join(shared, "key"), name)
 
 
-def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int, name: str, far: int | None = None) -> DataFrame:
+def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int, name: str, mark: str | None = None, fit: Callable[[str, str], Column] | None = None) -> DataFrame:
     """(node, root) of all nodes with a verified link. buckets: a written table (key, node), keys crowded.
 
-    verify takes pairs (a, b), a < b, and returns those that are alike. With `far`, buckets also have a
-    column sim, and a node whose sim differs from its hub's in more bits is not taken to verification.
+    verify takes pairs (a, b), a < b, and returns those that are alike. With `mark`, buckets
+    also have a column of that name, and nodes whose marks do not `fit` are known to be unlike.
     """
-    mark = F.col("sim") if far is not None else F.lit(0)
+    marked = F.lit(0) if mark is None else F.col(mark)
     edges = labels = tested = None
     for turn in range(rounds):
         rows = buckets
@@ -62,9 +62,9 @@ def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: i
         else:
             rows = rows.withColumn("root", F.col("node"))
         order = F.xxhash64(F.lit(turn), "node")
-        hubs = rows.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("node").alias("hub"), F.col("root").alias("hub_root"), mark.alias("hub_sim"))).alias("h"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-        hubs = hubs.filter("lo != hi").select("key", "h.hub", "h.hub_root", "h.hub_sim")
-        near = F.lit(True) if far is None else F.bit_count(F.col("sim").bitwiseXOR(F.col("hub_sim"))) <= far
+        hubs = rows.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("node").alias("hub"), F.col("root").alias("hub_root"), marked.alias("hub_mark"))).alias("h"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        hubs = hubs.filter("lo != hi").select("key", "h.hub", "h.hub_root", "h.hub_mark")
+        near = F.lit(True) if fit is None else fit(mark, "hub_mark")
         pairs = rows.join(hubs, "key").filter(near & (F.col("root") != F.col("hub_root"))).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
