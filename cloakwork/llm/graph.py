@@ -1,10 +1,10 @@
-"""Connected groups and linear candidate search for similarity joins; nothing is collected.
+"""Connected groups and candidate search for similarity joins; nothing is collected.
 
-`link` finds the connected groups that a similarity makes, from buckets of alike nodes. It never forms all
-pairs: in a round, every node of a bucket that is not yet one group is compared with that bucket's hub, a
-node that changes from round to round. Nodes that a round joins need no comparison with each other. A
-bucket of up to rounds + 1 nodes has all its pairs' groups decided exactly; in a larger one, a node stays
-apart only if it is unlike every hub of all buckets it is in, and unlike all that those hubs joined.
+`link` finds the connected groups that a similarity makes, from buckets of alike nodes. In a round, every
+node of a bucket that is not yet one group is compared with that bucket's hub, a node that changes from
+round to round. Nodes that a round joins need no comparison with each other, so rounds make large groups of
+alike nodes one group in linear time. What is left is decided exactly: in each bucket that still has several
+groups, every pair of nodes of different groups that has not been compared is.
 """
 
 from __future__ import annotations
@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from cloakwork.llm.scratch import stash
 
+#: Nodes outside a bucket's largest group that one task compares with the bucket.
+PART = 256
+
 
 def settled(edges: DataFrame) -> bool:
     """Whether edges (u, v) are stars already: no u has two edges or is another's v."""
@@ -47,30 +50,52 @@ def crowded(buckets: DataFrame, name: str = "buckets") -> DataFrame:
     return stash(buckets.join(shared, "key"), name)
 
 
+def across(rows: DataFrame, fit: Column) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes of one bucket with different roots that fit. rows: key, node, root, mark.
+
+    One side of such a pair is outside its bucket's largest group, so nodes of that group do not meet each
+    other. Those outside are dealt over parts of about PART, so that no task gets a whole large bucket.
+    """
+    groups = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    largest = groups.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups")).filter("groups > 1")
+    largest = largest.select("key", F.col("m.root").alias("most"), F.ceil((F.col("n") - F.col("m.n")) / PART).cast("int").alias("parts"))
+    own = rows.join(largest, "key").withColumn("outside", F.col("root") != F.col("most"))
+    left = own.filter("outside").select("key", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), F.col("node").alias("x"), F.col("root").alias("x_root"), F.col("mark").alias("x_mark"))
+    right = own.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "node", "root", "mark", "outside")
+    met = left.join(right, ["key", "part"]).filter((F.col("root") != F.col("x_root")) & (~F.col("outside") | (F.col("x") < F.col("node"))) & fit)
+    return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+
+
 def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int, name: str, mark: str | None = None, fit: Callable[[str, str], Column] | None = None) -> DataFrame:
     """(node, root) of all nodes with a verified link. buckets: a written table (key, node), keys crowded.
 
+    The first `rounds` turns compare with hubs, the last one compares what is left.
     verify takes pairs (a, b), a < b, and returns those that are alike. With `mark`, buckets
     also have a column of that name, and nodes whose marks do not `fit` are known to be unlike.
     """
     marked = F.lit(0) if mark is None else F.col(mark)
     edges = labels = tested = None
-    for turn in range(rounds):
-        rows = buckets
-        if labels is not None:
-            rows = rows.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def rooted() -> DataFrame:
+        if labels is None:
+            return buckets.withColumn("root", F.col("node"))
+        return buckets.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    for turn in range(rounds + 1):
+        rows = rooted()
+        if turn < rounds:
+            order = F.xxhash64(F.lit(turn), "node")
+            hubs = rows.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("node").alias("hub"), F.col("root").alias("hub_root"), marked.alias("hub_mark"))).alias("h"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+            hubs = hubs.filter("lo != hi").select("key", "h.hub", "h.hub_root", "h.hub_mark")
+            near = F.lit(True) if fit is None else fit(mark, "hub_mark")
+            pairs = rows.join(hubs, "key").filter(near & (F.col("root") != F.col("hub_root"))).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         else:
-            rows = rows.withColumn("root", F.col("node"))
-        order = F.xxhash64(F.lit(turn), "node")
-        hubs = rows.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("node").alias("hub"), F.col("root").alias("hub_root"), marked.alias("hub_mark"))).alias("h"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-        hubs = hubs.filter("lo != hi").select("key", "h.hub", "h.hub_root", "h.hub_mark")
-        near = F.lit(True) if fit is None else fit(mark, "hub_mark")
-        pairs = rows.join(hubs, "key").filter(near & (F.col("root") != F.col("hub_root"))).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+            pairs = across(rows.select("key", "node", "root", marked.alias("mark")), F.lit(True) if fit is None else fit("mark", "x_mark"))
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stash(pairs, f"{name}-pairs")
         if pairs.isEmpty():
-            break
+            continue
         tested = pairs if tested is None else tested.unionByName(pairs)
         found = stash(verify(pairs), f"{name}-edges")
         if found.isEmpty():

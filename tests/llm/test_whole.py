@@ -2,7 +2,11 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from cloakwork.llm import linededup
+from cloakwork.llm.graph import link
+from cloakwork.llm.scratch import stash
 
 
 def _lines(spark, texts):
@@ -28,3 +32,19 @@ def test_lines_with_an_edit_are_removed(spark):
         got = _lines(spark, [x for pair in pairs for x in pair])
         assert all(got[2 * i] == 0 for i in range(len(pairs)))
         assert sum(got[2 * i + 1] for i in range(len(pairs))) >= least * len(pairs)
+
+
+def test_every_alike_pair_of_a_bucket_is_linked(spark):
+    # In bucket k, nodes 1000 k + 1 to 1000 k + 60 are unlike but for two pairs; bucket 9 also has 500 alike ones.
+    rows = [(k, 1000 * k + i) for k in range(10) for i in range(1, 61)] + [(9, 100_000 + i) for i in range(500)]
+    alike = {(1000 * k + 3 + k, 1000 * k + 40 + k) for k in range(10)} | {(1000 * k + 20, 1000 * k + 21) for k in range(10)}
+    wanted = spark.createDataFrame(sorted(alike), "a bigint, b bigint")
+    buckets = stash(spark.createDataFrame(rows, "key bigint, node bigint"), "test-buckets")
+
+    def verify(pairs):
+        return pairs.join(wanted, ["a", "b"], "left_semi").unionByName(pairs.filter((F.col("a") >= 100_000) & (F.col("b") >= 100_000)))
+
+    got = {r.node: r.root for r in link(buckets, verify, 3, "test").collect()}
+    assert all(got.get(b) == a for a, b in alike)
+    assert {got.get(100_000 + i) for i in range(500)} == {100_000}
+    assert len(got) == 2 * len(alike) + 500
