@@ -31,7 +31,7 @@ PATTERNS = {
     "card": (r"[0-9]", r"[0-9](?:[\x20-]?[0-9])++"),
     "phone": (r"\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]"),
     "iban": (r"[A-Z][0-9]{2}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])"),
-    "secret": (r"(?i)token|secret|passw|api", r"(?i)(?<![a-z0-9])(?:access[_-]?token|token|client[_-]?secret|secret[_-]?key|secret|password|passwd|api[_-]?key)[\x20]{0,2}[=:][\x20]{0,2}(?:\"[^\"\s]{8,200}\"|'[^'\s]{8,200}'|[A-Za-z0-9_/+=.-]{16,200})"),
+    "secret": (r"(?i)token|secret|passw|api", r"(?i)(?<![a-z0-9])(?:access[_-]?token|token|client[_-]?secret|secret[_-]?key|secret|password|passwd|api[_-]?key)[\x20]{0,2}[=:][\x20]{0,2}(?:\"[^\"\s]{8,}+\"|'[^'\s]{8,}+'|[A-Za-z0-9_/+=.-]{16,}+)"),
     "national_id": (r"[0-9]-[0-9]{2}-[0-9]", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "local_phone": (r"[0-9]{3}[-.\x20][0-9]{4}", r"(?<![0-9+)(.-])\(?[0-9]{3}\)?[-.\x20]{1,2}[0-9]{3}[-.\x20][0-9]{4}(?![0-9-])"),
 }

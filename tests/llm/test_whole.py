@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from cloakwork.llm import linededup
+from cloakwork.llm import linededup, pii
 from cloakwork.llm.graph import link
 from cloakwork.llm.scratch import stash
 
@@ -48,3 +48,10 @@ def test_every_alike_pair_of_a_bucket_is_linked(spark):
     assert all(got.get(b) == a for a, b in alike)
     assert {got.get(100_000 + i) for i in range(500)} == {100_000}
     assert len(got) == 2 * len(alike) + 500
+
+
+def test_long_secrets_are_masked_to_their_end(spark):
+    long = "Ab3" * 400
+    texts = [f'token = "{long}" end', f"password: '{long}' end", f"api_key={long} end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.text for r in pii.mask(docs).collect()} == {"[SECRET] end"}
