@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from cloakwork.llm import linededup, pii
+from cloakwork.llm import linededup, pii, substring
 from cloakwork.llm.graph import link
 from cloakwork.llm.scratch import stash
 
@@ -55,3 +55,17 @@ def test_long_secrets_are_masked_to_their_end(spark):
     texts = [f'token = "{long}" end', f"password: '{long}' end", f"api_key={long} end"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     assert {r.text for r in pii.mask(docs).collect()} == {"[SECRET] end"}
+
+
+def test_passages_around_a_quote_of_others_are_found(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6))
+    some = lambda n: [word() for _ in range(n)]
+    texts = []
+    for _ in range(25):
+        passage = some(60)
+        texts += [some(20) + passage + some(20), some(30) + passage + some(10)]
+        texts += [some(20) + passage[10:50] + some(20) for _ in range(8)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {r.doc_id for r in substring.repeats(docs).collect()}
+    assert got == {i for i in range(len(texts)) if i % 10 < 2}
