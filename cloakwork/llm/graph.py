@@ -1,16 +1,20 @@
 """Connected groups and candidate search for similarity joins; nothing is collected.
 
-`link` finds the connected groups that a similarity makes, from buckets of alike nodes. In a round, every
-node of a bucket that is not yet one group is compared with that bucket's hub, a node that changes from
-round to round. Nodes that a round joins need no comparison with each other, so rounds make large groups of
-alike nodes one group in linear time. What is left is decided exactly: in each bucket that still has several
-groups, every pair of nodes of different groups that has not been compared is.
+`crowded` finds the bucket keys that several nodes have, in one shuffle. `link` finds the connected groups
+that a similarity makes from such buckets. In a hub turn, every node of a bucket that is not yet one group is
+compared with that bucket's hub. Nodes that a turn joins need no comparison with each other, so turns make
+large groups of alike nodes one group in linear time. They go on while they shrink what is left. The rest is
+decided exactly: in each bucket that still has several groups, every pair of nodes of different groups that
+has not been compared is, dealt over parts of a bounded size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +22,10 @@ from cloakwork.llm.scratch import stash
 
 #: Nodes outside a bucket's largest group that one task compares with the bucket.
 PART = 256
+#: Hub turns end where the pairs left are at most this many times the rows of the buckets.
+FEW = 1.0
+#: or where a turn leaves more than this share of the pairs that were left before it.
+SLOW = 0.7
 
 
 def settled(edges: DataFrame) -> bool:
@@ -44,63 +52,101 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def crowded(buckets: DataFrame, name: str = "buckets") -> DataFrame:
-    """Rows of buckets (key, node and what else there is) whose key has two nodes or more; rows must be distinct."""
-    shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("key")
-    return stash(buckets.join(shared, "key"), name)
+def neighbours(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of (key, node), those whose key another node has, each node once, and the first and
+    last of all: their keys may go on in the next partition. Holds one batch and one row."""
+    held, shares = None, True
+    for batch in source:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+        key, node = table.column("key").to_numpy(), table.column("node")
+        same = key[1:] == key[:-1]
+        twin = same & pc.equal(node.slice(1), node.slice(0, len(key) - 1)).to_numpy()
+        fresh = np.flatnonzero(np.concatenate(([True], ~twin)))
+        table, key = table.take(pa.array(fresh)), key[fresh]
+        up = np.concatenate(([shares], key[1:] == key[:-1]))
+        chosen = np.flatnonzero(up[:-1] | (key[1:] == key[:-1]))
+        if len(chosen):
+            yield from table.take(pa.array(chosen)).combine_chunks().to_batches()
+        held, shares = table.slice(len(key) - 1).combine_chunks().to_batches()[0], bool(up[-1])
+    if held is not None:
+        yield held
+
+
+def crowded(rows: DataFrame, name: str = "buckets") -> DataFrame:
+    """Rows (key bigint, node and what else there is) whose key has two nodes or more, each (key, node) once, written.
+
+    Rows are dealt by ranges of (key, node), so a key of any number of nodes spreads over tasks. At a border
+    between tasks a row may come along whose key no other node has. `rows` is read twice: give a written table.
+    """
+    ordered = rows.repartitionByRange("key", "node").sortWithinPartitions("key", "node")
+    return stash(ordered.mapInArrow(neighbours, rows.schema), name)
+
+
+def open_keys(rows: DataFrame) -> DataFrame:
+    """Of rows (key, node, root): per key with several groups its largest (most), its nodes (n) and those outside the largest."""
+    groups = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    per = groups.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups")).filter("groups > 1")
+    return per.select("key", F.col("m.root").alias("most"), "n", (F.col("n") - F.col("m.n")).alias("outside"))
 
 
-def across(rows: DataFrame, fit: Column) -> DataFrame:
+def across(rows: DataFrame, keys: DataFrame, fit: Column) -> DataFrame:
     """Pairs (a, b), a < b, of nodes of one bucket with different roots that fit. rows: key, node, root, mark.
 
     One side of such a pair is outside its bucket's largest group, so nodes of that group do not meet each
     other. Those outside are dealt over parts of about PART, so that no task gets a whole large bucket.
     """
-    groups = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    largest = groups.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups")).filter("groups > 1")
-    largest = largest.select("key", F.col("m.root").alias("most"), F.ceil((F.col("n") - F.col("m.n")) / PART).cast("int").alias("parts"))
-    own = rows.join(largest, "key").withColumn("outside", F.col("root") != F.col("most"))
+    keys = keys.select("key", "most", F.ceil(F.col("outside") / PART).cast("int").alias("parts"))
+    own = rows.join(keys, "key").withColumn("outside", F.col("root") != F.col("most"))
     left = own.filter("outside").select("key", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), F.col("node").alias("x"), F.col("root").alias("x_root"), F.col("mark").alias("x_mark"))
     right = own.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "node", "root", "mark", "outside")
     met = left.join(right, ["key", "part"]).filter((F.col("root") != F.col("x_root")) & (~F.col("outside") | (F.col("x") < F.col("node"))) & fit)
     return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
 
 
-def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int, name: str, mark: str | None = None, fit: Callable[[str, str], Column] | None = None) -> DataFrame:
+def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str, mark: str | None = None, fit: Callable[[str, str], Column] | None = None) -> DataFrame:
     """(node, root) of all nodes with a verified link. buckets: a written table (key, node), keys crowded.
 
-    The first `rounds` turns compare with hubs, the last one compares what is left.
     verify takes pairs (a, b), a < b, and returns those that are alike. With `mark`, buckets
     also have a column of that name, and nodes whose marks do not `fit` are known to be unlike.
     """
     marked = F.lit(0) if mark is None else F.col(mark)
-    edges = labels = tested = None
-
-    def rooted() -> DataFrame:
+    plain = buckets.select("key", "node", marked.alias("mark"))
+    labels = tested = None
+    turn, last, before = 0, False, None
+    while not last:
         if labels is None:
-            return buckets.withColumn("root", F.col("node"))
-        return buckets.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-
-    for turn in range(rounds + 1):
-        rows = rooted()
-        if turn < rounds:
-            order = F.xxhash64(F.lit(turn), "node")
-            hubs = rows.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("node").alias("hub"), F.col("root").alias("hub_root"), marked.alias("hub_mark"))).alias("h"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-            hubs = hubs.filter("lo != hi").select("key", "h.hub", "h.hub_root", "h.hub_mark")
-            near = F.lit(True) if fit is None else fit(mark, "hub_mark")
-            pairs = rows.join(hubs, "key").filter(near & (F.col("root") != F.col("hub_root"))).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+            rows = plain.withColumn("root", F.col("node"))
+        else:
+            rows = plain.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            rows = stash(rows, f"{name}-rows")
+        keys = stash(open_keys(rows), f"{name}-open")
+        left, held = keys.agg(F.sum(F.col("outside") * F.col("n")), F.sum("n")).first()
+        if not left:
+            break
+        last = turn > 0 and (left <= FEW * held or before is not None and left > SLOW * before)
+        before = left
+        if last:
+            pairs = across(rows, keys, F.lit(True) if fit is None else fit("mark", "x_mark"))
         else:
-            pairs = across(rows.select("key", "node", "root", marked.alias("mark")), F.lit(True) if fit is None else fit("mark", "x_mark"))
+            # The first hub is a bucket's smallest node, which makes buckets agree; later ones come from groups at random, large or small.
+            order = F.col("node") if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "root"), "node")
+            own = rows.join(keys.select("key"), "key")
+            hubs = own.groupBy("key").agg(F.min_by(F.struct(F.col("node").alias("hub"), F.col("root").alias("hub_root"), F.col("mark").alias("hub_mark")), order).alias("h")).select("key", "h.*")
+            near = F.lit(True) if fit is None else fit("mark", "hub_mark")
+            pairs = own.join(hubs, "key").filter(near & (F.col("root") != F.col("hub_root"))).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stash(pairs, f"{name}-pairs")
+        turn += 1
         if pairs.isEmpty():
             continue
         tested = pairs if tested is None else tested.unionByName(pairs)
         found = stash(verify(pairs), f"{name}-edges")
         if found.isEmpty():
             continue
-        edges = found if edges is None else edges.unionByName(found)
+        edges = found if labels is None else found.unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b")))
         labels = components(edges, f"{name}-roots")
     if labels is None:
         return buckets.select("node", F.col("node").alias("root")).limit(0)

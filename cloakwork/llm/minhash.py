@@ -28,14 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakwork.llm.graph import crowded, link
-from cloakwork.llm.scratch import stash, unpacked, whole
+from cloakwork.llm.scratch import body, rest, restored, stash
 from cloakwork.llm.textkit import U64, mix, shingles, words_of
 
 SIMILARITY = 0.8
 SHINGLE = 5
 BANDS = 10
 ROWS = 3
-ROUNDS = 4
 DEPTH = 2
 WIDTH = 18
 _FAN = 64
@@ -173,7 +172,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """doc_id, node (the text's key), class_id (smallest doc_id of the class) for each row."""
+    """doc_id, node (the text's key), root (its class' smallest node), class_id (smallest doc_id of the class) for each row."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     cells, documents = document_counts(texts.select("text"))
@@ -186,8 +185,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "bands"])
 
     signed = stash(texts.select("doc_id", text_key(F.col("text")).alias("node"), "text").mapInArrow(sign, "doc_id bigint, node binary, bands array<bigint>"), "signed")
-    nodes = signed.filter(F.col("node").isNotNull()).groupBy("node").agg(F.first("bands", ignorenulls=True).alias("bands"))
-    buckets = crowded(nodes.select("node", F.explode("bands").alias("key")).distinct())
+    buckets = crowded(signed.filter(F.col("node").isNotNull()).select(F.explode("bands").alias("key"), "node"))
     needed = buckets.select("node").distinct()
     bodies = texts.withColumn("node", text_key(F.col("text"))).join(needed, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     bodies = stash(bodies, "bodies")
@@ -209,18 +207,18 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
         return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(alike, "a binary, b binary")
 
-    roots = stash(link(buckets, verify, ROUNDS, "near"), "roots")
-    rows = signed.select("doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rows = stash(rows, "rooted")
+    roots = link(buckets, verify, "near")
+    rows = stash(signed.select("doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     first = rows.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    return rows.join(first, "root", "left").select("doc_id", "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    return rows.join(first, "root", "left").select("doc_id", "node", "root", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """docs without those that another of their class stays for: the row with the smallest doc_id (then text) of each class."""
     named = classes(docs)
-    kept = named.filter(F.col("node").isNotNull()).groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").alias("d"), F.col("node").alias("k"))).alias("m")).select("m.d", "m.k")
-    keyed = docs.select(whole(docs), F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("_node"))
-    chosen = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("_node") == F.col("k")))
-    chosen = chosen.dropDuplicates(["_node", "doc_id"])
-    return chosen.unionByName(keyed.filter(F.col("_node").isNull()), allowMissingColumns=True).select(*unpacked(docs))
+    kept = named.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min(F.struct(F.col("doc_id").alias("d"), F.col("node").alias("k"))).alias("m")).select("m.d", "m.k")
+    keyed = docs.select(rest(docs), body(docs), F.col("doc_id").cast("long").alias("_id"), text_key(F.col("text")).alias("_node"))
+    # Texts are dealt by node once: the test of ids is no key of the join, and the row that stays is looked for where the join has put it.
+    chosen = keyed.join(kept, (F.col("_node") == F.col("k")) & F.when(F.col("_id").isNull(), F.col("d").isNull()).otherwise(F.col("_id") == F.col("d")))
+    chosen = chosen.dropDuplicates(["_node"]).drop("d", "k")
+    return chosen.unionByName(keyed.filter(F.col("_node").isNull())).select(*restored(docs))

@@ -16,10 +16,10 @@ columns pass through `mix` and are left out by `plan`.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloakwork.llm.scratch import stash, unpacked, whole
+from cloakwork.llm.scratch import body, rest, restored, stash
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -89,29 +89,36 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHA
     return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), finish.alias("first_finish"), "source", "_key", "_text_key")
 
 
+def _row_key(doc_id, source, text_key) -> Column:
+    return F.unhex(F.md5(F.concat_ws("|", *[F.coalesce(F.concat(F.length(c.cast("string")), F.lit(":"), c.cast("string")), F.lit("-")) for c in (doc_id, source, text_key)]).cast("binary")))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
     """The mix itself: the columns of docs, a row each time a document is taken, in order of finish time.
 
     A document cut at the border keeps its first words and, where there is a column n_chars, its new length.
+    Rows with equal doc_id, source and text follow each other in their queue; which of them comes first is
+    decided by their other columns.
     """
-    rows = plan(docs, weights, share, repeats).filter("taken > 0")
-    chosen = rows.select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("_text_key").alias("_t"), "taken", F.col("size").alias("_size"), "source_size", "target", "first_finish")
-    # Repeated rows share doc_id, source and text: each is numbered, so that it meets its own plan row.
-    chosen = chosen.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_src", "_t").orderBy("first_finish", "taken")))
-    text = F.col("text").cast("string")
-    body = docs.select(whole(docs), text.alias("text"), F.col("doc_id").cast("long").alias("_id0"), F.col("source").cast("string").alias("_src0"), F.coalesce(F.md5(text.cast("binary")), F.lit("")).alias("_t0"))
-    body = body.withColumn("_nth0", F.row_number().over(Window.partitionBy("_id0", "_src0", "_t0").orderBy(F.lit(0))))
-    joined = body.join(chosen, F.col("_id0").eqNullSafe(F.col("_id")) & F.col("_src0").eqNullSafe(F.col("_src")) & (F.col("_t0") == F.col("_t")) & (F.col("_nth0") == F.col("_nth")))
-    each = joined.withColumn("_round", F.explode(F.expr("sequence(0, int(ceil(taken / _size)) - 1)")))
-    words = F.least(F.col("_size"), F.col("taken") - F.col("_round") * F.col("_size"))
-    each = each.withColumn("_cut", words < F.col("_size")).withColumn("_words", words.cast("string"))
-    head = F.expr(r"regexp_extract(text, concat('^(?:[\\x20\\x09-\\x0D]*+[^\\x20\\x09-\\x0D]++){', _words, '}+'), 0)")
-    each = each.withColumn("text", F.when(F.col("_cut"), head).otherwise(F.col("text")))
-    changed = {"text": F.col("text")}
-    if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("_cut"), F.char_length("text").cast("long")).otherwise(F.col("_row.n_chars"))
+    rows = plan(docs, weights, share, repeats)
+    turns = F.struct("first_finish", "taken", F.col("size").alias("size"), "source_size", "target")
+    # One plan row for each set of equal rows, with what each of them gives, so that texts are dealt by one key, once.
+    chosen = rows.withColumn("_k", _row_key(F.col("doc_id"), F.col("source"), F.col("_text_key"))).groupBy("_k").agg(F.array_sort(F.collect_list(turns)).alias("_turns")).filter(F.exists("_turns", lambda x: x["taken"] > 0))
+    text_key = F.coalesce(F.md5(F.col("text").cast("string").cast("binary")), F.lit(""))
+    keyed = docs.select(rest(docs), body(docs), F.col("doc_id").cast("long").alias("_id"), _row_key(F.col("doc_id").cast("long"), F.col("source").cast("string"), text_key).alias("_key"))
+    keyed = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(F.to_json("_rest"))))
+    joined = keyed.join(chosen, F.col("_key") == F.col("_k")).withColumn("_turn", F.element_at("_turns", F.col("_nth"))).filter("_turn.taken > 0")
+    joined = joined.select("_rest", "_text", "_id", "_nth", "_turn.*")
+    each = joined.withColumn("_round", F.explode(F.expr("sequence(0, int(ceil(taken / size)) - 1)")))
     finish = F.col("first_finish") + F.col("_round") * F.col("source_size") / F.col("target")
-    return each.withColumn("_finish", finish).orderBy("_finish", "_id", "_round").select(*unpacked(docs, **changed))
+    each = each.withColumn("_words", F.least(F.col("size"), F.col("taken") - F.col("_round") * F.col("size"))).withColumn("_cut", F.col("_words") < F.col("size"))
+    each = each.withColumn("_finish", finish).orderBy("_finish", "_id", "_nth", "_round")
+    head = F.expr(r"regexp_extract(_text, concat('^(?:[\\x20\\x09-\\x0D]*+[^\\x20\\x09-\\x0D]++){', cast(_words as string), '}+'), 0)")
+    text = F.when(F.col("_cut"), head).otherwise(F.col("_text"))
+    changed = {}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("_cut"), F.char_length(text).cast("long")).otherwise(F.col("_rest.n_chars"))
+    return each.select(*restored(docs, text, **changed))
 
 
 ORACLE = """

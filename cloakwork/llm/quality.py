@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakwork.llm.scratch import stash, unpacked, whole
+from cloakwork.llm.scratch import body, rest, restored, stash
 
 MIN_WORDS = 20
 MAX_REPEATED_PERCENT = 30
@@ -109,7 +109,6 @@ def score(docs: DataFrame) -> DataFrame:
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, with their own columns. Equal rows share one verdict."""
     key = [F.xxhash64(F.lit(salt), "doc_id", "text", "lang", "source").alias(name) for salt, name in ((1, "_k1"), (2, "_k2"))]
-    keyed = docs.select(whole(docs), "text", "lang", "source", *key)
-    rows = stash(measured(keyed, "_k1", "_k2", "lang", "source"), "measures")
+    rows = stash(measured(docs.select("text", "lang", "source", *key), "_k1", "_k2", "lang", "source"), "measures")
     rejected = judged(rows, thresholds(rows)).filter(~F.col("kept")).select("_k1", "_k2").distinct()
-    return keyed.join(rejected, ["_k1", "_k2"], "left_anti").select(*unpacked(docs))
+    return docs.select(rest(docs), body(docs), *key).join(rejected, ["_k1", "_k2"], "left_anti").select(*restored(docs))

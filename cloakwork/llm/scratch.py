@@ -38,11 +38,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def whole(docs: DataFrame) -> Column:
-    """A row's own columns as one struct, so that helper columns cannot clash with them."""
-    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+def rest(docs: DataFrame) -> Column:
+    """A row's columns but its text as one struct, so that helper columns cannot clash with them."""
+    return F.struct(F.lit(0).alias("_none"), *[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_rest")
 
 
-def unpacked(docs: DataFrame, **changed: Column) -> list[Column]:
-    """The own columns again, some of them changed."""
-    return [changed[c].alias(c) if c in changed else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
+def body(docs: DataFrame) -> Column:
+    return F.col("text").cast("string").alias("_text")
+
+
+def restored(docs: DataFrame, text: Column | None = None, **changed: Column) -> list[Column]:
+    """The own columns again from `rest` and `body`, some of them changed."""
+    text = F.col("_text") if text is None else text
+    return [(text if c == "text" else changed[c] if c in changed else F.col(f"_rest.`{c}`")).alias(c) for c in docs.columns]

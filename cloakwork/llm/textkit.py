@@ -61,6 +61,16 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * _power(_INVERSE, len(data))[starts] + (ends - starts).astype(U64))
 
 
+def rolling(data: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n bytes from each position on; the last n - 1 positions are dropped."""
+    m = len(data) - n + 1
+    if m <= 0:
+        return np.zeros(0, U64)
+    sums = np.zeros(len(data) + 1, U64)
+    np.cumsum((data.astype(U64) + U64(1)) * _power(_BASE, len(data)), out=sums[1:])
+    return mix((sums[n:] - sums[:m]) * _power(_INVERSE, m))
+
+
 def runs(words: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n words from each position on; positions whose run would leave the array are dropped."""
     m = len(words) - n + 1

@@ -158,14 +158,6 @@ def test_lines_are_kept_once(spark):
     assert cleaned[0] == texts[0] and cleaned[1] == "intro words" and cleaned[3] == texts[3]
 
 
-def test_simhash_of_long_lines():
-    words = np.random.default_rng(2).integers(0, 1 << 63, 1000).astype(np.uint64)
-    cuts = np.array([0, 0, 3, 700, 1000])
-    for i, own in enumerate(linededup.simhashes(words, cuts)):
-        part = words[cuts[i] : cuts[i + 1]]
-        assert int(own) == sum(1 << b for b in range(64) if 2 * int(((part >> np.uint64(b)) & np.uint64(1)).sum()) > len(part))
-
-
 def test_shared_passages_are_found(docs, rows):
     words = {d: normalise(r.text).decode().split() for d, r in rows.items()}
     runs: dict = {}

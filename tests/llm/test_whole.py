@@ -44,7 +44,7 @@ def test_every_alike_pair_of_a_bucket_is_linked(spark):
     def verify(pairs):
         return pairs.join(wanted, ["a", "b"], "left_semi").unionByName(pairs.filter((F.col("a") >= 100_000) & (F.col("b") >= 100_000)))
 
-    got = {r.node: r.root for r in link(buckets, verify, 3, "test").collect()}
+    got = {r.node: r.root for r in link(buckets, verify, "test").collect()}
     assert all(got.get(b) == a for a, b in alike)
     assert {got.get(100_000 + i) for i in range(500)} == {100_000}
     assert len(got) == 2 * len(alike) + 500
