@@ -18,12 +18,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakwork.llm.scratch import stash
+from cloakwork.llm.scratch import discard, stash
 
 #: Nodes outside a bucket's largest group that one task compares with the bucket.
 PART = 256
-#: Hub turns end where the pairs left are at most this many times the rows of the buckets.
-FEW = 1.0
+#: Hub turns end where the pairs left, before `fit`, are at most this many times the rows of the buckets.
+FEW = 16
 #: or where a turn leaves more than this share of the pairs that were left before it.
 SLOW = 0.7
 
@@ -47,7 +47,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(smallest, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stash(small.unionByName(smallest.select("u", F.col("m").alias("v"))).distinct(), name)
+        earlier, now = now, stash(small.unionByName(smallest.select("u", F.col("m").alias("v"))).distinct(), name)
+        discard(earlier)
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
@@ -91,63 +92,67 @@ def open_keys(rows: DataFrame) -> DataFrame:
     return per.select("key", F.col("m.root").alias("most"), "n", (F.col("n") - F.col("m.n")).alias("outside"))
 
 
-def across(rows: DataFrame, keys: DataFrame, fit: Column) -> DataFrame:
+def across(rows: DataFrame, keys: DataFrame, fit: Column, times: Column | None = None) -> DataFrame:
     """Pairs (a, b), a < b, of nodes of one bucket with different roots that fit. rows: key, node, root, mark.
 
     One side of such a pair is outside its bucket's largest group, so nodes of that group do not meet each
     other. Those outside are dealt over parts of about PART, so that no task gets a whole large bucket.
+    `times`: in how many buckets a pair must fit, from mark and x_mark of one of them.
     """
     keys = keys.select("key", "most", F.ceil(F.col("outside") / PART).cast("int").alias("parts"))
     own = rows.join(keys, "key").withColumn("outside", F.col("root") != F.col("most"))
     left = own.filter("outside").select("key", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), F.col("node").alias("x"), F.col("root").alias("x_root"), F.col("mark").alias("x_mark"))
     right = own.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "node", "root", "mark", "outside")
     met = left.join(right, ["key", "part"]).filter((F.col("root") != F.col("x_root")) & (~F.col("outside") | (F.col("x") < F.col("node"))) & fit)
-    return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+    met = met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"), (F.lit(1) if times is None else times).alias("times"))
+    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("times").alias("times")).filter("n >= times").select("a", "b")
 
 
-def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str, mark: str | None = None, fit: Callable[[str, str], Column] | None = None) -> DataFrame:
+def link(
+    buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str, mark: str | None = None, fit: Callable[[str, str], Column] | None = None, times: Callable[[str, str], Column] | None = None
+) -> DataFrame:
     """(node, root) of all nodes with a verified link. buckets: a written table (key, node), keys crowded.
 
     verify takes pairs (a, b), a < b, and returns those that are alike. With `mark`, buckets
     also have a column of that name, and nodes whose marks do not `fit` are known to be unlike.
+    `times` is the number of buckets that nodes with such marks share if they are alike, 1 if left out.
     """
-    marked = F.lit(0) if mark is None else F.col(mark)
-    plain = buckets.select("key", "node", marked.alias("mark"))
-    labels = tested = None
-    turn, last, before = 0, False, None
-    while not last:
-        if labels is None:
-            rows = plain.withColumn("root", F.col("node"))
+    plain = buckets.select("key", "node", (F.lit(0) if mark is None else F.col(mark)).alias("mark"))
+    fits = (lambda a, b: F.lit(True)) if fit is None else fit
+    labels, tested, turn, before = None, [], 0, None
+    while True:
+        if turn == 0:
+            last, rows, keys = False, plain.withColumn("root", F.col("node")), None
         else:
-            rows = plain.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            rows = plain.withColumn("root", F.col("node")) if labels is None else plain.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
             rows = stash(rows, f"{name}-rows")
-        keys = stash(open_keys(rows), f"{name}-open")
-        left, held = keys.agg(F.sum(F.col("outside") * F.col("n")), F.sum("n")).first()
-        if not left:
-            break
-        last = turn > 0 and (left <= FEW * held or before is not None and left > SLOW * before)
-        before = left
+            keys = stash(open_keys(rows), f"{name}-open")
+            left, held = keys.agg(F.sum(F.col("outside") * F.col("n")), F.sum("n")).first()
+            if not left:
+                break
+            last = left <= FEW * held or before is not None and left > SLOW * before
+            before = left
         if last:
-            pairs = across(rows, keys, F.lit(True) if fit is None else fit("mark", "x_mark"))
+            pairs = across(rows, keys, fits("mark", "x_mark"), None if times is None else times("mark", "x_mark"))
         else:
             # The first hub is a bucket's smallest node, which makes buckets agree; later ones come from groups at random, large or small.
             order = F.col("node") if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "root"), "node")
-            own = rows.join(keys.select("key"), "key")
+            own = rows if keys is None else rows.join(keys.select("key"), "key")
             hubs = own.groupBy("key").agg(F.min_by(F.struct(F.col("node").alias("hub"), F.col("root").alias("hub_root"), F.col("mark").alias("hub_mark")), order).alias("h")).select("key", "h.*")
-            near = F.lit(True) if fit is None else fit("mark", "hub_mark")
-            pairs = own.join(hubs, "key").filter(near & (F.col("root") != F.col("hub_root"))).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = own.join(hubs, "key").filter(fits("mark", "hub_mark") & (F.col("root") != F.col("hub_root"))).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        for done in tested:
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = stash(pairs, f"{name}-pairs")
         turn += 1
-        if pairs.isEmpty():
-            continue
-        tested = pairs if tested is None else tested.unionByName(pairs)
         found = stash(verify(pairs), f"{name}-edges")
-        if found.isEmpty():
-            continue
-        edges = found if labels is None else found.unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        labels = components(edges, f"{name}-roots")
+        if not found.isEmpty():
+            edges = found if labels is None else found.unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b")))
+            labels = components(edges, f"{name}-roots")
+        if last:
+            break
+        tested.append(pairs)
+        discard(found, *([rows, keys] if keys is not None else []))
+    discard(*tested)
     if labels is None:
         return buckets.select("node", F.col("node").alias("root")).limit(0)
     return labels

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -26,12 +27,31 @@ def shared_dir(spark: SparkSession) -> str:
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Writes df once as Parquet in the shared folder and reads it back: cuts lineage and survives executors.
 
-    The files stay until the folder is cleared; the caller's result may still read them.
+    The files stay until `discard` or until the folder is cleared; the caller's result may still read them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stash = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes stashed tables that nothing reads any more, and has the driver look for shuffles that nothing refers to.
+
+    Spark deletes the files of a shuffle once its objects on the driver are collected, which may be long after.
+    """
+    spark = None
+    for df in tables:
+        path = getattr(df, "_stash", None)
+        if path:
+            spark = df.sparkSession
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    if spark is not None:
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:
