@@ -53,17 +53,19 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def neighbours(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in order of (key, node), those whose key another node has, each node once, and the first and
+def neighbours(source: Iterator[pa.RecordBatch], own: tuple[str, ...] = ("node",)) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of (key, *own), those whose key another row has, equal rows once, and the first and
     last of all: their keys may go on in the next partition. Holds one batch and one row."""
     held, shares = None, True
     for batch in source:
         if not batch.num_rows:
             continue
         table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
-        key, node = table.column("key").to_numpy(), table.column("node")
-        same = key[1:] == key[:-1]
-        twin = same & pc.equal(node.slice(1), node.slice(0, len(key) - 1)).to_numpy()
+        key = table.column("key").to_numpy()
+        twin = key[1:] == key[:-1]
+        for name in own:
+            column = table.column(name)
+            twin = twin & pc.equal(column.slice(1), column.slice(0, len(key) - 1)).to_numpy()
         fresh = np.flatnonzero(np.concatenate(([True], ~twin)))
         table, key = table.take(pa.array(fresh)), key[fresh]
         up = np.concatenate(([shares], key[1:] == key[:-1]))
@@ -75,14 +77,14 @@ def neighbours(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield held
 
 
-def crowded(rows: DataFrame, name: str = "buckets") -> DataFrame:
-    """Rows (key bigint, node and what else there is) whose key has two nodes or more, each (key, node) once, written.
+def crowded(rows: DataFrame, name: str = "buckets", own: tuple[str, ...] = ("node",)) -> DataFrame:
+    """Rows (key bigint, node and what else there is) whose key has two rows or more, each (key, *own) once, written.
 
-    Rows are dealt by ranges of (key, node), so a key of any number of nodes spreads over tasks. At a border
+    Rows are dealt by ranges of (key, *own), so a key of any number of nodes spreads over tasks. At a border
     between tasks a row may come along whose key no other node has. `rows` is read twice: give a written table.
     """
-    ordered = rows.repartitionByRange("key", "node").sortWithinPartitions("key", "node")
-    return stash(ordered.mapInArrow(neighbours, rows.schema), name)
+    ordered = rows.repartitionByRange("key", *own).sortWithinPartitions("key", *own)
+    return stash(ordered.mapInArrow(lambda source: neighbours(source, own), rows.schema), name)
 
 
 def open_keys(rows: DataFrame) -> DataFrame:
