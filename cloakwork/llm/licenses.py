@@ -1,15 +1,18 @@
 """Licence scan: a trained paragraph classifier, a calibrated unknown class and template comparison.
 
-Paragraphs are lines with a word. Features are hashed word 1-, 2- and 3-grams, each counted over the
+Paragraphs are lines with a word, and runs of such lines that each share word pairs with templates (a notice
+wrapped over lines), where none of the run is a confirmed notice alone. Features are hashed word 1-, 2- and 3-grams, each counted over the
 paragraph and divided by the root of their number. A softmax regression over licence families and
 `unknown` is trained on the driver: notices made from the templates below (cut, joined with words around
-them) against a bounded sample of the corpus' own paragraphs (NEGATIVES, by hash of their doc_id) that
-share no template. A temperature fitted on a held-out quarter calibrates probabilities; a paragraph whose
+them) against a bounded sample of the corpus' own paragraphs that share no template: the first PARAGRAPHS
+lines, cut to LETTERS characters, of NEGATIVES / PARAGRAPHS documents by hash of their doc_id. A temperature fitted on a held-out quarter calibrates probabilities; a paragraph whose
 best family is less likely than SURE is unknown. A prediction is confirmed when the paragraph contains
 at least CONTAINED of the two-word shingles of one of that family's templates.
 
 Cases: null and empty texts have no paragraphs; without corpus paragraphs training uses notices and random
-words only; repeated rows give repeated results; an empty table gives no rows; clashing columns are ignored.
+words only; rows with equal doc_id and text are one document and get the same result, other rows with one or no
+doc_id do not mix; texts and lines of any length are scanned whole; families that tie in probability are
+ordered by name; an empty table gives no rows; clashing columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,6 +43,10 @@ FAMILIES = (*TEMPLATES, "unknown")
 BITS = 15
 ORDERS = (1, 2, 3)
 NEGATIVES = 1600
+PARAGRAPHS = 4
+LETTERS = 400
+#: Word pairs of templates that a line of a wrapped notice has.
+PAIRS = 2
 SURE = 0.5
 CONTAINED = 0.7
 
@@ -130,43 +137,74 @@ def train(paragraphs: list[str], seed: int = 7, rounds: int = 80) -> dict:
 
 
 def scan(docs: DataFrame, negatives: int = NEGATIVES) -> DataFrame:
-    """Each paragraph that is predicted to be a licence notice: doc_id, paragraph (line from 0), family, probability, similarity, confirmed."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chosen = texts.filter(F.col("text").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max(1, negatives // 4)).select(F.slice(F.split("text", "\n"), 1, 4).alias("p"))
+    """Each paragraph that is predicted to be a licence notice: doc_id, text_key, paragraph (its first line, from 0), lines, family, probability, similarity, confirmed."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
+    sample = texts.filter(F.col("text").isNotNull()).select("doc_id", "text_key", F.transform(F.slice(F.split("text", "\n", PARAGRAPHS + 1), 1, PARAGRAPHS), lambda x: F.substring(x, 1, LETTERS)).alias("p"))
+    chosen = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "text_key").limit(max(1, negatives // PARAGRAPHS))
     model = train([x for r in chosen.collect() for x in r["p"]])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    def judge(words: np.ndarray, cuts: np.ndarray, model: dict, shingles: dict) -> Iterator[tuple]:
+        """(paragraph, family, probability, similarity) of those that are no unknown text."""
+        odds = softmax(logits(words, cuts, model["weights"], model["bias"]))
+        best = odds.argmax(axis=1)
+        for i in np.flatnonzero((best < len(TEMPLATES)) & (odds.max(axis=1) >= SURE) & (np.diff(cuts) > 0)):
+            family = FAMILIES[best[i]]
+            yield int(i), family, float(odds[i, best[i]]), containment(words[cuts[i] : cuts[i + 1]], shingles[family])
+
     def classify(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, shingles = shared.value, _template_shingles()
+        pairs = np.unique(np.concatenate([t for own in shingles.values() for t in own]))
         for batch in source:
             held, doc, line = [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
+            for i, text in enumerate(batch.column(2).to_pylist()):
                 own = text.split("\n") if text else []
                 held += own
                 doc += [i] * len(own)
                 line += range(len(own))
-            out: list[list] = [[], [], [], [], [], []]
-            ids = batch.column(0).to_pylist()
+            found, alone, parts = [], set(), []
             for first, _, data, starts, ends, cuts in batches(held):
                 words = word_hashes(data, starts, ends)
-                odds = softmax(logits(words, cuts, m["weights"], m["bias"]))
-                best = odds.argmax(axis=1)
-                for i in np.flatnonzero((best < len(TEMPLATES)) & (odds.max(axis=1) >= SURE) & (np.diff(cuts) > 0)):
-                    family = FAMILIES[best[i]]
-                    alike = containment(words[cuts[i] : cuts[i + 1]], shingles[family])
-                    for column, value in zip(out, (ids[doc[first + i]], line[first + i], family, float(odds[i, best[i]]), alike, alike >= CONTAINED)):
-                        column.append(value)
-            kinds = [pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["doc_id", "paragraph", "family", "probability", "similarity", "confirmed"])
-
-    return texts.mapInArrow(classify, "doc_id bigint, paragraph int, family string, probability double, similarity double, confirmed boolean")
+                for i, family, sure, alike in judge(words, cuts, m, shingles):
+                    found.append((doc[first + i], line[first + i], 1, family, sure, alike))
+                    if alike >= CONTAINED:
+                        alone.add(first + i)
+                two = runs(words, 2)
+                near = np.flatnonzero(np.isin(two, pairs))
+                at = np.searchsorted(cuts, near, "right") - 1
+                at = at[near + 1 < cuts[at + 1]]
+                many = np.bincount(at, minlength=len(cuts) - 1)
+                parts += [(first + int(i), words[cuts[i] : cuts[i + 1]]) for i in np.flatnonzero(many >= PAIRS)]
+            wrapped: list[list[tuple[int, np.ndarray]]] = []
+            for at, words in parts:
+                last = wrapped[-1][-1][0] if wrapped else -2
+                if at == last + 1 and doc[at] == doc[last]:
+                    wrapped[-1].append((at, words))
+                else:
+                    wrapped.append([(at, words)])
+            wrapped = [w for w in wrapped if len(w) > 1 and not any(at in alone for at, _ in w)]
+            if wrapped:
+                texts_of = [np.concatenate([words for _, words in w]) for w in wrapped]
+                cuts = np.cumsum([0, *map(len, texts_of)])
+                for i, family, sure, alike in judge(np.concatenate(texts_of), cuts, m, shingles):
+                    at = wrapped[i][0][0]
+                    found = [x for x in found if not (x[0] == doc[at] and line[at] <= x[1] < line[at] + len(wrapped[i]))] if alike >= CONTAINED else found
+                    if alike >= CONTAINED:
+                        found.append((doc[at], line[at], len(wrapped[i]), family, sure, alike))
+            docs_of = pa.array([x[0] for x in found], pa.int64())
+            columns = [pa.array([x[k] for x in found], kind) for k, kind in ((1, pa.int32()), (2, pa.int32()), (3, pa.string()), (4, pa.float64()), (5, pa.float64()))]
+            confirmed = pa.array([x[5] >= CONTAINED for x in found], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(docs_of), batch.column(1).take(docs_of), *columns, confirmed], names=["doc_id", "text_key", "paragraph", "lines", "family", "probability", "similarity", "confirmed"])
+
+    return texts.mapInArrow(classify, "doc_id bigint, text_key bigint, paragraph int, lines int, family string, probability double, similarity double, confirmed boolean")
 
 
 def report(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, licence (its confirmed family with the highest probability, else null), notices, confirmed notices."""
-    found = scan(docs)
+    # Repeated rows find the same notices again.
+    found = scan(docs).dropDuplicates(["doc_id", "text_key", "paragraph"])
     best = F.max(F.when(F.col("confirmed"), F.struct("probability", "family")))["family"]
-    found = found.groupBy("doc_id").agg(best.alias("licence"), F.count(F.lit(1)).alias("notices"), F.sum(F.col("confirmed").cast("long")).alias("confirmed"))
-    found = found.withColumnRenamed("doc_id", "_d")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(found, F.col("doc_id").eqNullSafe(F.col("_d")), "left")
+    found = found.groupBy(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t")).agg(best.alias("licence"), F.count(F.lit(1)).alias("notices"), F.sum(F.col("confirmed").cast("long")).alias("confirmed"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("_key"))
+    rows = rows.join(found, (F.col("_key") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
     return rows.select("doc_id", "licence", F.coalesce("notices", F.lit(0)).alias("notices"), F.coalesce("confirmed", F.lit(0)).alias("confirmed"))

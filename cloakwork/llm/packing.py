@@ -6,14 +6,16 @@ There, lengths are placed longest first, each into the open packs with most room
 patterns. Pieces then find their place by their rank among pieces of the same length. Ranks come from
 hash buckets and a table of bucket offsets, so no task holds all pieces of a common length.
 
-Cases: a null or empty text is the single id 0; repeated rows and ids are separate documents; a null
-doc_id stays null; an empty table gives no rows; other columns are left out.
+Cases: a null or empty text is the single id 0; repeated rows and ids are separate documents, and which of
+equal pieces gets which of their places is a tie without meaning; a null doc_id stays null; a text of any
+length is encoded whole and cut; an empty table gives no rows; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -50,7 +52,8 @@ class Ids:
     The vocabulary file is that of `tokenizers`; its byte-level merges run in tiktoken, several times
     faster, and each space-delimited chunk is encoded once and remembered. A space before a character
     that is no white space always starts a new pre-token, so chunks can be encoded alone; a text with
-    other white space than single spaces and line feeds between chunks is encoded in one call.
+    other white space than single spaces and line feeds between chunks is encoded in one call. Added tokens
+    (such as an end-of-text mark) are cut out first, wherever they stand in a text, and have their own id.
     """
 
     def __init__(self, path: str):
@@ -59,7 +62,7 @@ class Ids:
 
         with open(path, encoding="utf-8") as file:
             vocabulary = json.load(file)
-        special = {t["content"] for t in vocabulary["added_tokens"]}
+        special = {t["content"]: t["id"] for t in vocabulary["added_tokens"]}
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in printable}
         byte_of |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in byte_of.values())}
@@ -67,6 +70,8 @@ class Ids:
         self._bpe = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._memo: dict[str, bytes] = {}
         self._feed = self._encode("\n")
+        self._special = {k: int(v).to_bytes(4, "little") for k, v in special.items()}
+        self._marks = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
     def _encode(self, text: str) -> bytes:
         return self._bpe.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
@@ -82,6 +87,11 @@ class Ids:
     def of(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if self._marks is not None and any(k in text for k in self._special):
+            return b"".join([self._special[part] if part in self._special else self._plain(part) for part in self._marks.split(text) if part])
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         lines = text.split("\n")
         out = []
         for line in lines:

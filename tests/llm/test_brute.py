@@ -30,8 +30,7 @@ def test_ids_equal_the_library(rows):
 
     path = packing.default_vocabulary()
     library, own = Tokenizer.from_file(path), packing.Ids(path)
-    library.encode_special_tokens = True
-    texts = [r.text for r in rows.values()] + ["", " ", "a  b", "a \tb", " x\n\n y ", "it's 42—ok no", "<|endoftext|>", "\r\n", "x\n", "　a", "😀😀 é\n"]
+    texts = [r.text for r in rows.values()] + ["", " ", "a  b", "a \tb", " x\n\n y ", "it's 42—ok no", "<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>\n y <|endoftext", "\r\n", "x\n", "　a", "😀😀 é\n"]
     for text, e in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
         assert np.frombuffer(own.of(text), "<u4").tolist() == e.ids
 

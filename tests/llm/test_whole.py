@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from cloakwork.llm import linededup, pii, substring
+from cloakwork.llm import licenses, linededup, minhash, pii, substring
 from cloakwork.llm.graph import link
 from cloakwork.llm.scratch import stash
 
@@ -69,3 +69,38 @@ def test_passages_around_a_quote_of_others_are_found(spark):
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
     got = {r.doc_id for r in substring.repeats(docs).collect()}
     assert got == {i for i in range(len(texts)) if i % 10 < 2}
+
+
+def test_wrapped_notices_are_confirmed(spark):
+    mit = "Some words before it\n\nPermission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation\nfiles (the Software), to deal in the Software\n\nother words"
+    bsd = "/*\n * Redistribution and use in source and binary forms,\n * with or without modification, are permitted provided\n * that the following conditions are met:\n */"
+    rows = [(1, mit), (2, bsd), (3, "Permission is hereby\ngranted to fish here"), (4, "Released under the MIT License\nLicensed under the Apache License, Version 2.0")]
+    got = {r.doc_id: (r.licence, r.confirmed) for r in licenses.report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[1] == ("MIT", 1) and got[2] == ("BSD-3-Clause", 1) and got[3] == (None, 0) and got[4][1] == 2
+
+
+def test_licences_are_told_by_row(spark):
+    rows = [(1, "Released under the MIT License"), (1, "Released under the MIT License"), (None, "Licensed under CC BY-NC 4.0"), (None, "words of no licence at all"), (1, "other words of no licence")]
+    got = sorted((str(r.doc_id), str(r.licence), r.notices) for r in licenses.report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == [("1", "MIT", 1), ("1", "MIT", 1), ("1", "None", 0), ("None", "CC-BY-NC-4.0", 1), ("None", "None", 0)]
+
+
+def test_planted_licence_lines_are_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = {r.doc_id: r.text or "" for r in docs.collect()}
+    got = {r.doc_id for r in licenses.report(docs).collect() if r.licence}
+    planted = {d for d, t in rows.items() if any(x.startswith(("Licensed under", "Released under", "This work is licensed", "SPDX-License")) for x in t.split("\n"))}
+    assert len(planted) > 20 and len(got & planted) >= 0.95 * len(planted) and len(got & planted) >= 0.95 * len(got)
+
+
+def test_repeated_documents_count_their_lines_once(spark):
+    rows = [(1, "one two three four\nfive six seven eight"), (1, "one two three four\nfive six seven eight"), (2, "one two three four\nnine ten eleven twelve")]
+    got = sorted((r.doc_id, r.n_lines, r.removed) for r in linededup.summary(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == [(1, 2, []), (1, 2, []), (2, 2, [0])]
+
+
+def test_unlike_texts_with_one_id_both_stay(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+    rows = [(1, words), (1, words), (None, "some other words that nobody has written before this"), (None, "quite different from all of the others here, is it not"), (1, "and one more text that has the same number as the first")]
+    kept = minhash.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(r.text for r in kept) == sorted({t for _, t in rows})
