@@ -11,7 +11,7 @@ TEXTS = [
     (6, "Точка наблюдения: координаты 55°45′21″ с.ш. 37°37′04″ в.д."),
     (7, "СНИЛС 112-233-445 95, полис ОМС 1234567890123456."),
     (8, "г. Новый, ул. Садовая, д. 5, кв. 3"),
-    (9, "Приложение А. Схема расположения"),
+    (9, "Раздел Г. Перечень оборудования"),
     (10, "В пункте 4.3.2.1 и версии 1.2.3.999 адресов нет."),
     (11, "Встреча 5 мая 2021 г. и 12 марта 2020 г."),
     (12, ""),

@@ -6,7 +6,7 @@ import re
 
 _HEADING = re.compile(r"(?:условные обозначения|названия|участки|площади|месторождения|объекты|водотоки|реки|ручьи)[^\n]{0,40}:?[ \t]*$", re.I)
 _ITEM = re.compile(r"^[ \t]*(?:[-–—•*]|[0-9]{1,3}[.)])[ \t]+(?P<item>.+?)[ \t]*$")
-# Generic words that a name may be joined with.
+# Own choice: generic words that a name may be joined with.
 _GENERIC = frozenset("участок площадь месторождение рудопроявление проявление река ручей озеро гора хребет блок зона жила".split())
 MAX_LENGTH, MAX_WORDS = 44, 3
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Fields, their shape and range.
+#: Own choice: fields, their shape and range.
 FIELDS = {"depth": (r"^[0-9]{1,4}([.,][0-9]{1,2})?$", 0.0, 5000.0), "percent": (r"^[0-9]{1,3}([.,][0-9]{1,2})?$", 0.0, 100.0), "year": (r"^[0-9]{4}$", 1900.0, 2100.0), "count": (r"^[0-9]{1,4}$", 0.0, 9999.0)}
 #: Letters that recognisers read for digits, and those digits.
 CONFUSED = ("OОoоlI|ЗзБбS", "000011133665")
@@ -110,7 +110,7 @@ def printed_lines(words: DataFrame) -> DataFrame:
     )
 
 
-#: Page types and their key words with weights.
+#: Own choice: page types and their key words with weights.
 PAGE_TYPES = {"journal": {"глубина": 2, "интервал": 2, "скважина": 1}, "table": {"итого": 2, "таблица": 2}, "title": {"отчёт": 2, "утверждаю": 2}}
 
 

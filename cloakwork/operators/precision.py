@@ -7,7 +7,7 @@ import re
 from cloakwork.operators.overlap import Span, moved, span_key
 from cloakwork.operators.rules import CAP, ROLES, is_role
 
-# Contract nomenclature, by stem.
+# Own choice: contract nomenclature, by stem.
 NOMENCLATURE = tuple("заказчик поставщик подрядчик исполнител покупател продавец товар услуг работ сторон договор контракт арендатор арендодател лицензиат лицензиар генподрядчик субподрядчик заявител участник бенефициар".split())
 _SUFFIX = re.compile("(?:ов|ев|ёв|ин|ын|ск|цк)(?:а|у|ым|ой|е|ого|ому|ий|ая|ую|им|ом)?$|(?:енко|чук|юк|ук|ян|дзе|швили)(?:а|у|ом|е)?$|(?:ич|вн|ичн)(?:а|у|ем|е|ы|ой)?$")
 SIGNING = re.compile(r"в лице|подпис|директор|действующ|расписк|поставил|паспорт|ИНН|родил|рожден|г\.р\.", re.I)

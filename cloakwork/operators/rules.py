@@ -44,9 +44,9 @@ def digits(s: str) -> str:
 
 # --- predicates --------------------------------------------------------------------------------------
 
-#: Stems of role words that stand before initials and are no surnames.
+#: Own choice: stems of role words that stand before initials and are no surnames.
 ROLES = tuple("директор инженер геолог начальник заказчик поставщик исполнитель подрядчик генеральн главн утвердил утвержда согласов проверил составил принял подпись председател секретар врач судь истец ответчик покупател продавец замечан срок задание приложение таблиц рисунок раздел глава пункт стать см. литер лист форма схема разрез".split())
-#: Words that a letter with a dot numbers.
+#: Own choice: words that a letter with a dot numbers.
 RUBRICS = tuple("приложени таблиц рисун раздел глав пункт стать литер лист форм схем разрез част том вариант участ блок корпус строени зона".split())
 
 
@@ -117,12 +117,20 @@ def is_well_number(token: str, text: str = "", start: int = 0) -> bool:
     return True
 
 
-# Kinds of subsoil licences.
-LICENCE_KINDS = ("НЭ", "НР", "НП", "БР", "БЭ", "БП", "ВЭ", "ВР", "ВП", "МЭ", "ТЭ", "ТР", "ТП", "ПЭ", "ПР", "ПД", "КЭ", "КР", "КП", "ОЭ", "ОП")
+# Region codes of subsoil licences.
+LICENCE_REGIONS = frozenset("""
+АДГ АЛТ АМУ АНД АРХ АСТ БАШ БЕЛ БЛГ БРО БРЯ ВЛГ ВЛВ ВЛЖ ВОЛ ВОР ГОР ДАГ ЕКБ ИВА ИНГ ИРК КАМ КБР КЕМ КЛГ КЛМ КМН КПЯ КРД КРР КРС КРЯ
+КУР КЧР КЗЛ ЛЕН ЛИП МАГ МАР МОР МОС МСК МУР НЕН НЖГ НВС НОВ ОМС ОРБ ОРЛ ПЕН ПЕР ПРМ ПСК РОС РЯЗ САМ САР САХ СВЕ СЕВ СКЛ СМО СТА СТВ
+СЫК ТАЛ ТАМ ТВЕ ТОМ ТУВ ТУЛ ТЮМ УДМ УДЭ УЛЬ УФА ХАБ ХАК ХАН ЧЕЛ ЧЕР ЧИТ ЧУК ЧУВ ШОМ ЭВЕ ЮГК ЮСХ ЯКУ ЯНЦ ЯРО
+""".split())
+# A licence's kind is one letter for what is mined and one for the purpose.
+LICENCE_KINDS = frozenset(mined + purpose for mined in "БТВНЭК" for purpose in "РПЭТ")
 
 
 def is_subsoil_licence(m: re.Match, text: str) -> bool:
     kind = m.group("kind")
+    if m.group("region") not in LICENCE_REGIONS:
+        return False
     if kind:
         return kind in LICENCE_KINDS
     return "лицензи" in text[max(0, m.start() - 60) : m.start()].lower()
@@ -131,7 +139,7 @@ def is_subsoil_licence(m: re.Match, text: str) -> bool:
 _NOMINATIVE = re.compile(r"(?:ое|ый|ий|ая|ск|ка|на|ха|ма|ра|та|ла|ль|нь|ан|ин|он|ун|ор|ар|ай|уй|ей|ой|ек|ок|ик|ак|ин[оа]|ово|ево|ый|ье)$", re.I)
 _OBLIQUE = re.compile(r"(?:ого|его|ому|ему|ым|им|ом|ем|ой|ей|ую|юю|ого)$", re.I)
 _VERBAL = re.compile(r"(?:ани|ени|ци|ировк|ност)(?:е|я|ю|ем|и|й|а)?$", re.I)
-#: Words that stand beside a geological key but name nothing.
+#: Own choice: words that stand beside a geological key but name nothing.
 GEO_COMMON = tuple("данн указанн настоящ лицензионн разведочн поисков перспективн рудн нефтян газов угольн золот площад участ месторожд проявлен объект работ российск федерац республик област край район общ весь сам так нов стар перв втор трет".split())
 ADMIN_TAIL = re.compile(r"^[ \t\u00a0]{1,4}(?:район|област|кра[йяю]|округ|республик|федерац|сельсовет|поселени)", re.I)
 
@@ -179,7 +187,7 @@ rule("C13", "IP", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
 
 # --- geology -----------------------------------------------------------------------------------------
 
-rule("C14", "LICENSE_SUBSOIL", r"(?<![А-ЯЁA-Z])[А-ЯЁ]{3}[ \t\u00a0-]?(?:№[ \t\u00a0]?)?[0-9]{5,6}(?:[ \t\u00a0-]?(?P<kind>[А-Я]{2})(?![А-Яа-яЁё]))?", "medium", is_subsoil_licence)
+rule("C14", "LICENSE_SUBSOIL", r"(?<![А-ЯЁA-Z])(?P<region>[А-ЯЁ]{3})[ \t\u00a0-]?(?:№[ \t\u00a0]?)?[0-9]{5,6}(?:[ \t\u00a0-]?(?P<kind>[А-Я]{2})(?![А-Яа-яЁё]))?", "medium", is_subsoil_licence)
 WELL_KEY = r"(?:скважин[а-яё]{0,3}|скв\.?|буров(?:ая|ой|ую))"
 WELL_TOKEN = r"[А-ЯA-Z]{0,4}-?[0-9][0-9А-Яа-яA-Za-z/-]{0,10}"
 rule("C15", "WELL", rf"(?<![А-Яа-яЁё]){WELL_KEY}:?[ \t\u00a0]*((?:№[ \t\u00a0]?)?{WELL_TOKEN})", "medium", lambda m, t: is_well_number(m.group(1), t, m.start(1)), 0, re.I)
@@ -188,7 +196,7 @@ rule("C17", "WELL", rf"(?<![А-Яа-яЁё]){WELL_KEY}(?:[ \t\u00a0]+[а-яё]+)
 STRONG = r"(?:участ(?:ок|ка|ке|ку|ком)|площад(?:ь|и|ью)|месторождени(?:е|я|и|ю|ем)|рудопроявлени(?:е|я|и)|проявлени(?:е|я|и))"
 _GEOLOGY = re.compile("геолог|недр|скважин|месторожд|разведк|бурен|руд|горн", re.I)
 rule("C18", "GEO_NAME", rf"(?<![А-Яа-яЁё])(?P<key>{STRONG}|объект[а-яё]{{0,2}})[ \t\u00a0]+(?:недр[ \t\u00a0]+)?(?P<name>«[А-ЯЁ0-9][^»\n]{{1,58}}»|\"[А-ЯЁ0-9][^\"\n]{{1,38}}\")", "medium", lambda m, t: not m.group("key").lower().startswith("объект") or bool(_GEOLOGY.search(t[max(0, m.start() - 120) : m.start()])), 0, re.I)
-# Proper names that follow "river" but are countries' or streets' words.
+# Own choice: proper names that follow "river" but are countries' or streets' words.
 rule("C19", "GEO_NAME", rf"(?<![А-Яа-яЁё])(?:рек(?:а|и|е|у|ой)|речк(?:а|и|е|у|ой))[ \t\u00a0]+({CAP})", "medium", lambda m, t: "набережн" not in t[max(0, m.start() - 16) : m.start()].lower() and not m.group(1).startswith(("Росси", "Кита")))
 rule("C20", "GEO_NAME", rf"(?<![А-Яа-яЁё])(?:руч\.|руче(?:й|я|ю|ём|е))[ \t\u00a0]*((?:[А-Я][а-яё]?\.[ \t\u00a0]?)?{CAP})", "medium", None)
 rule("C21", "GEO_NAME", rf"(?<![А-Яа-яЁё0-9])р\.[ \t\u00a0]?({CAP})(?:,[ \t\u00a0]приток[а-яё]*[ \t\u00a0]реки[ \t\u00a0]{CAP})?", "medium", lambda m, t: not re.search(r"[0-9][ \t\u00a0]?$", t[max(0, m.start() - 3) : m.start()]))

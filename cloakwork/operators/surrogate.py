@@ -15,7 +15,7 @@ from datetime import date, timedelta
 from cloakwork.operators import checks, morph
 
 ATTEMPTS, TAIL_TRIES = 8, 100
-# Invented people, companies, streets.
+# Own choice: invented people, companies, streets.
 SURNAMES = "Берёзов Осинин Тополев Рябинин Вересков Лугов Озеров Полянский Ключевский Заречный".split()
 NAMES_M, NAMES_F = "Андрей Борис Виктор Глеб Денис Егор Кирилл Максим".split(), "Алла Вера Галина Дарья Елена Жанна Инна Ксения".split()
 COMPANIES = "Горизонт Меридиан Вектор Спектр Азимут Контур Квант Орион".split()

@@ -77,11 +77,11 @@ def url_hosts_allowlist(spark, sf_dir):
 
 
 @query("""
-WITH u AS (SELECT page_id, unnest(list_transform(regexp_extract_all(html, 'https?://([^/\\s"''<>:?#]+)', 1), lambda x: lower(x))) AS host FROM pages)
+WITH u AS (SELECT page_id, unnest(list_transform(regexp_extract_all(url || ' ' || html, 'https?://([^/\\s"''<>:?#]+)', 1), lambda x: lower(x))) AS host FROM pages)
 SELECT host, count(*) AS links, count(DISTINCT page_id) AS pages FROM u GROUP BY host""")
 def url_detection(spark, sf_dir):
-    """Hosts of all URLs within pages."""
-    u = table(spark, sf_dir, "pages").select("page_id", F.explode(text.hosts(F.col("html"))).alias("host"))
+    """Hosts of all URLs of and within pages."""
+    u = table(spark, sf_dir, "pages").select("page_id", F.explode(text.hosts(F.concat_ws(" ", "url", "html"))).alias("host"))
     return u.groupBy("host").agg(F.count(F.lit(1)).alias("links"), F.count_distinct("page_id").alias("pages"))
 
 
@@ -245,11 +245,11 @@ def bare_pair_plausible(spark, sf_dir):
 
 
 @query("""
-WITH d AS (SELECT doc_id, chr(8203) || replace(text[1:200], ' ', chr(160)) || chr(65279) AS t FROM documents)
+WITH d AS (SELECT doc_id, chr(8203) || replace(text, ' ', chr(160)) || chr(65279) AS t FROM documents)
 SELECT doc_id, sha256(replace(replace(replace(t, chr(8203), ''), chr(65279), ''), chr(160), ' ')) AS digest FROM d""")
 def normalize_spaces(spark, sf_dir):
     """A1, A10: marks without width go, no-break spaces become plain."""
-    t = F.concat(F.lit("​"), F.translate(F.substring("text", 1, 200), " ", " "), F.lit("﻿"))
+    t = F.concat(F.lit("​"), F.translate("text", " ", " "), F.lit("﻿"))
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.plain_spaces(text.drop_zero_width(t)).cast("binary"), 256).alias("digest"))
 
 
