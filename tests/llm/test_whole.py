@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from cloakwork.llm import licenses, linededup, minhash, pii, substring
+from cloakwork.llm import ann, licenses, linededup, minhash, pii, substring
 from cloakwork.llm.graph import link
 from cloakwork.llm.scratch import stash
 
@@ -104,3 +105,29 @@ def test_unlike_texts_with_one_id_both_stay(spark):
     rows = [(1, words), (1, words), (None, "some other words that nobody has written before this"), (None, "quite different from all of the others here, is it not"), (1, "and one more text that has the same number as the first")]
     kept = minhash.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert sorted(r.text for r in kept) == sorted({t for _, t in rows})
+
+
+def test_each_row_of_a_repeated_vector_asks(spark):
+    rows = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [0.5, 0.1])]
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in ann.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect())
+    assert got == [(20, 1, 20), (20, 1, 20), (20, 2, 1), (20, 2, 1)]
+
+
+def test_the_index_finds_the_nearest(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = table.select("vec_id", "embedding").toPandas().sort_values("vec_id")
+    ids, vectors = rows.vec_id.to_numpy(), np.stack(rows.embedding.to_numpy()).astype(np.float64)
+    assert len(ids) > 4 * ann.LEAST and int(ann.SHARE * min(len(ids), ann.SHARD)) > 20
+    found = {}
+    for r in ann.search(table).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    hits = total = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        scores = (vectors * vectors[q]).sum(axis=1)
+        scores[q] = -np.inf
+        best = np.lexsort((ids, -scores))[:20]
+        own = sorted(found[ids[q]])
+        assert all(abs(scores[np.searchsorted(ids, v)] - s) < 1e-9 for _, v, s in own) and [r for r, _, _ in own] == list(range(1, 21))
+        hits += len(set(ids[best]) & {v for _, v, _ in own})
+        total += 20
+    assert hits >= 0.9 * total, hits / total
