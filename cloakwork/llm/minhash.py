@@ -6,12 +6,13 @@
 2. A second pass draws BANDS x ROWS consistent samples of each text; equal samples of two texts are as
    likely as their weighted Jaccard similarity. Bands of samples are bucket keys.
 3. Equal texts are one node from the start. Nodes that share a bucket are candidates (see graph.link) and
-   are verified by the weighted Jaccard similarity of the whole texts, at least SIMILARITY.
+   are verified by the weighted Jaccard similarity of the whole texts, at least SIMILARITY. keep_first keeps
+   one row of each class, the one with the smallest doc_id, then text, and all rows without a text.
 
 Cases: a null text is its own class; texts without words are near no other, but equal ones are one class;
 texts of under five words are one shingle; rows with equal doc_id and text are one document, and more rows
 with one doc_id may lie in several classes; a null doc_id is allowed (its class is that of its text); an
-empty table gives no rows; clashing columns are ignored.
+empty table gives no rows; texts of any length are compared whole; clashing columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from cloakwork.llm.graph import crowded, link
 from cloakwork.llm.scratch import body, rest, restored, stash
-from cloakwork.llm.textkit import U64, mix, shingles, words_of
+from cloakwork.llm.textkit import U64, mix, shingles, slices, words_of
 
 SIMILARITY = 0.8
 SHINGLE = 5
@@ -200,7 +201,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
             def weighted(text: str) -> tuple[np.ndarray, np.ndarray]:
                 return weigher.of(next(words_of([text])))
 
-            for batch in source:
+            for batch in slices(source, 128):
                 pairs_of = zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist())
                 good = [similarity(weighted(x), weighted(y)) >= least for x, y in pairs_of]
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))

@@ -111,6 +111,13 @@ def batches(texts: Iterable[str | None], size: int = 1 << 18) -> Iterator[tuple[
         yield whole(first, parts)
 
 
+def slices(source: Iterator, rows: int) -> Iterator:
+    """Arrow batches of a few rows each, so that a worker holds the Python texts of no more."""
+    for batch in source:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def words_of(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
     """Word hashes of each text, in order."""
     for first, last, data, starts, ends, cuts in batches(texts):
