@@ -2,7 +2,7 @@
 
 `crowded` finds the bucket keys that several nodes have, in one shuffle. `link` finds the connected groups
 that a similarity makes from such buckets. In a hub turn, every node of a bucket that is not yet one group is
-compared with that bucket's hub. Nodes that a turn joins need no comparison with each other, so turns make
+compared with that bucket's hub, the node that meets most others. Nodes that a turn joins need no comparison with each other, so turns make
 large groups of alike nodes one group in linear time. They go on while they shrink what is left. The rest is
 decided exactly: in each bucket that still has several groups, every pair of nodes of different groups that
 has not been compared is, dealt over parts of a bounded size.
@@ -25,7 +25,7 @@ PART = 256
 #: Hub turns end where the pairs left, before `fit`, are at most this many times the rows of the buckets.
 FEW = 16
 #: or where a turn leaves more than this share of the pairs that were left before it.
-SLOW = 0.7
+SLOW = 0.85
 
 
 def settled(edges: DataFrame) -> bool:
@@ -120,6 +120,9 @@ def link(
     `times` is the number of buckets that nodes with such marks share if they are alike, 1 if left out.
     """
     plain = buckets.select("key", "node", (F.lit(0) if mark is None else F.col(mark)).alias("mark"))
+    # How many rows a node meets in its buckets: copies of one original have more in common with it than with each other.
+    meets = plain.join(plain.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key").groupBy("node").agg(F.sum("n").alias("meets"))
+    plain = stash(plain.join(meets, "node"), f"{name}-met")
     fits = (lambda a, b: F.lit(True)) if fit is None else fit
     labels, tested, turn, before = None, [], 0, None
     while True:
@@ -137,9 +140,13 @@ def link(
         if last:
             pairs = across(rows, keys, fits("mark", "x_mark"), None if times is None else times("mark", "x_mark"))
         else:
-            # The first hub is a bucket's smallest node, which makes buckets agree; later ones come from groups at random, large or small.
-            order = F.col("node") if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "root"), "node")
-            own = rows if keys is None else rows.join(keys.select("key"), "key")
+            # A bucket's hub is the node outside its largest group that meets most others.
+            if keys is None:
+                own, inside = rows, F.lit(0)
+            else:
+                own = rows.join(keys.select("key", "most"), "key")
+                inside = (F.col("root") == F.col("most")).cast("int")
+            order = F.struct(inside, -F.col("meets"), "node")
             hubs = own.groupBy("key").agg(F.min_by(F.struct(F.col("node").alias("hub"), F.col("root").alias("hub_root"), F.col("mark").alias("hub_mark")), order).alias("h")).select("key", "h.*")
             pairs = own.join(hubs, "key").filter(fits("mark", "hub_mark") & (F.col("root") != F.col("hub_root"))).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         for done in tested:
@@ -154,7 +161,7 @@ def link(
             break
         tested.append(pairs)
         discard(found, *([rows, keys] if keys is not None else []))
-    discard(*tested)
+    discard(*tested, plain)
     if labels is None:
         return buckets.select("node", F.col("node").alias("root")).limit(0)
     return labels

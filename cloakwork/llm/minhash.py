@@ -5,8 +5,8 @@
    size of the corpus). A shingle weighs its times in the text by 1 + ln((1 + documents) / (1 + count)).
 2. A second pass draws BANDS x ROWS consistent samples of each text; equal samples of two texts are as
    likely as their weighted Jaccard similarity. Bands of samples are bucket keys.
-3. Equal texts are one node from the start. Nodes that share a bucket are candidates (see graph.link) and
-   are verified by the weighted Jaccard similarity of the whole texts, at least SIMILARITY. keep_first keeps
+3. Equal texts are one node from the start. Nodes that share a bucket and agree in AGREE samples are candidates
+   (see graph.link) and are verified by the weighted Jaccard similarity of the whole texts, at least SIMILARITY. keep_first keeps
    one row of each class, the one with the smallest doc_id, then text, and all rows without a text.
 
 Cases: a null text is its own class; texts without words are near no other, but equal ones are one class;
@@ -38,6 +38,8 @@ BANDS = 10
 ROWS = 3
 DEPTH = 2
 WIDTH = 18
+#: Samples in which candidates agree, of all BANDS x ROWS: texts as alike as SIMILARITY do with probability 0.997.
+AGREE = 18
 _FAN = 64
 
 
@@ -164,6 +166,14 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def nibbles(samples: np.ndarray) -> tuple[int, int]:
+    """Four bits of each of up to 32 samples, as two 64-bit integers."""
+    bits = np.zeros(32, U64)
+    bits[: len(samples)] = samples & U64(15)
+    low, high = ((bits[i : i + 16] << (np.arange(16, dtype=U64) * U64(4))).sum(dtype=U64).view(np.int64) for i in (0, 16))
+    return int(low), int(high)
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of two weighted sets with ascending keys."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -182,11 +192,24 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     def sign(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weigher, sampler = Weigher(*shared.value), Sampler(BANDS * ROWS)
         for batch in source:
-            keys = [band_keys(sampler.draw(*weigher.of(w))) if len(w) else None for w in words_of(batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "bands"])
+            drawn = [sampler.draw(*weigher.of(w)) if len(w) else None for w in words_of(batch.column(2).to_pylist())]
+            keys = [None if x is None else band_keys(x) for x in drawn]
+            low, high = zip(*[(None, None) if x is None else nibbles(x) for x in drawn]) if drawn else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["doc_id", "node", "bands", "low", "high"])
+
+    signed = stash(texts.select("doc_id", text_key(F.col("text")).alias("node"), "text").mapInArrow(sign, "doc_id bigint, node binary, bands array<bigint>, low bigint, high bigint"), "signed")
+    buckets = crowded(signed.filter(F.col("node").isNotNull()).select(F.explode("bands").alias("key"), "node", F.struct("low", "high").alias("mark")))
+
+    def agree(a: str, b: str) -> Column:
+        """Whether enough of the four-bit pieces that two texts' marks are made of are equal."""
+        apart = F.lit(0)
+        for part in ("low", "high"):
+            x = F.col(f"{a}.{part}").bitwiseXOR(F.col(f"{b}.{part}"))
+            x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+            x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+            apart = apart + F.bit_count(x.bitwiseAND(0x1111111111111111))
+        return apart <= BANDS * ROWS - AGREE
 
-    signed = stash(texts.select("doc_id", text_key(F.col("text")).alias("node"), "text").mapInArrow(sign, "doc_id bigint, node binary, bands array<bigint>"), "signed")
-    buckets = crowded(signed.filter(F.col("node").isNotNull()).select(F.explode("bands").alias("key"), "node"))
     needed = buckets.select("node").distinct()
     bodies = texts.withColumn("node", text_key(F.col("text"))).join(needed, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     bodies = stash(bodies, "bodies")
@@ -208,7 +231,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
         return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(alike, "a binary, b binary")
 
-    roots = link(buckets, verify, "near")
+    roots = link(buckets, verify, "near", "mark", agree)
     rows = stash(signed.select("doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     first = rows.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("class_id"))
     return rows.join(first, "root", "left").select("doc_id", "node", "root", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
