@@ -140,8 +140,14 @@ def scan(docs: DataFrame, negatives: int = NEGATIVES) -> DataFrame:
     """Each paragraph that is predicted to be a licence notice: doc_id, text_key, paragraph (its first line, from 0), lines, family, probability, similarity, confirmed."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
     sample = texts.filter(F.col("text").isNotNull()).select("doc_id", "text_key", F.transform(F.slice(F.split("text", "\n", PARAGRAPHS + 1), 1, PARAGRAPHS), lambda x: F.substring(x, 1, LETTERS)).alias("p"))
-    chosen = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "text_key").limit(max(1, negatives // PARAGRAPHS))
-    model = train([x for r in chosen.collect() for x in r["p"]])
+    wanted, total = max(1, negatives // PARAGRAPHS), texts.count()
+    first = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "text_key").limit(wanted)
+    # The least hashes lie below this bound, which spares each task sending as many rows as are wanted in all.
+    bound = int(-(1 << 63) + (1 << 64) * min(1.0, 8 * wanted / max(1, total)))
+    chosen = sample.filter(F.xxhash64("doc_id") < min(bound, (1 << 63) - 1)).orderBy(F.xxhash64("doc_id"), "doc_id", "text_key").limit(wanted).collect()
+    if len(chosen) < wanted:
+        chosen = first.collect()
+    model = train([x for r in chosen for x in r["p"]])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(words: np.ndarray, cuts: np.ndarray, model: dict, shingles: dict) -> Iterator[tuple]:
