@@ -13,25 +13,27 @@ from cloakwork.operators import coords, legend
 from cloakwork.operators.normalize import Normalized, normalize, soften_caps, to_source
 from cloakwork.operators.overlap import Span, mask, resolve
 from cloakwork.operators.registry import TYPES
-from cloakwork.operators.rules import RULES
+from cloakwork.operators.rules import RULES, Rule
 
 SPANS = "array<struct<type:string,start:int,end:int,raw:string,confidence:string,source:string,identity:string>>"
 _CAPS_WORD = re.compile("[А-ЯЁ]{4,}")
 
 
-def rule_spans(text: str, types: frozenset[str]) -> list[Span]:
+def one_rule(r: Rule, text: str) -> list[Span]:
     out = []
-    for r in RULES:
-        if r.type in types:
-            for m in r.pattern.finditer(text):
-                if r.check is None or r.check(m, text):
-                    start, end = m.span(r.group)
-                    while end > start and text[end - 1] in " \t ":
-                        end -= 1
-                    out.append(Span(r.type, start, end, text[start:end], r.confidence, "rule"))
+    for m in r.pattern.finditer(text):
+        if r.check is None or r.check(m, text):
+            start, end = m.span(r.group)
+            while end > start and text[end - 1] in " \t\u00a0":
+                end -= 1
+            out.append(Span(r.type, start, end, text[start:end], r.confidence, "rule"))
     return out
 
 
+def rule_spans(text: str, types: frozenset[str]) -> list[Span]:
+    return [s for r in RULES if r.type in types for s in one_rule(r, text)]
+
+
 def detect(text: str | None, types: list[str] | frozenset[str]) -> list[Span]:
     """Normalise, run the rules of the wanted types, again over softened capitals if there are any, add
     legends and coordinates, resolve overlaps, and return spans of the source text."""
@@ -72,6 +74,16 @@ def detect_spans(text: Column, types: list[str]) -> Column:
     return run(text)
 
 
+def rule_hits(text: Column, rule: Column) -> Column:
+    """What the rule named beside each text finds in it as it stands, before any repair or choice among overlaps."""
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series, names: pd.Series) -> pd.Series:
+        return pd.Series([[s.raw for r in RULES if r.id == name for s in one_rule(r, t or "")] for t, name in zip(texts, names)], dtype=object)
+
+    return run(text, rule)
+
+
 def mask_text(text: Column, types: list[str]) -> Column:
     wanted = frozenset(types)
 

@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from cloakwork import queries, queries_text  # noqa: F401
+from cloakwork import queries, queries_cases, queries_text  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
