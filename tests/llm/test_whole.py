@@ -72,6 +72,50 @@ def test_passages_around_a_quote_of_others_are_found(spark):
     assert got == {i for i in range(len(texts)) if i % 10 < 2}
 
 
+def test_groups_and_places_of_passages_are_linked(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6))
+    some = lambda n: [word() for _ in range(n)]
+    texts = []
+    for _ in range(20):
+        # Four texts share p, two and two of them what follows it; two more share q and, elsewhere, an edited s. Others quote them too briefly.
+        p, one, two, q, s = some(60), some(60), some(60), some(60), some(54)
+        edited = s[:26] + some(1) + s[27:]
+        texts += [some(20) + p + one + some(9), some(30) + p + one + some(8), some(25) + p + two + some(9), some(15) + p + two + some(7)]
+        texts += [some(20) + q + some(30) + s + some(9), some(30) + q + some(20) + edited + some(9)]
+        texts += [some(20) + p[8:52] + some(30) + s[5:49] + some(20) for _ in range(12)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    rows = substring.repeats(docs).collect()
+    pairs = {(r.doc_id, r.ref_doc_id) for r in rows} | {(r.ref_doc_id, r.doc_id) for r in rows}
+    firsts = range(0, len(texts), 18)
+    assert all(any((first + a, first + b) in pairs for a in (0, 1) for b in (2, 3)) for first in firsts)
+    # Two functions of four agree on passages as alike as these with probability 0.97.
+    both = [all(len({r.start_word for r in rows if r.doc_id == first + d}) == 2 for d in (4, 5)) for first in firsts]
+    assert sum(both) >= 18, both
+
+
+def test_a_passage_twice_in_the_smaller_text_has_two_rows(spark):
+    rng = random.Random(9)
+    some = lambda n: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(n)]
+    texts = []
+    for _ in range(20):
+        p = some(60)
+        texts += [some(20) + p + some(20) + p + some(9), some(30) + p + some(8)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    rows = substring.repeats(docs).collect()
+    for first in range(0, len(texts), 2):
+        assert {r.start_word for r in rows if r.doc_id == first} == {20, 100}
+
+
+def test_an_agreeing_function_far_off_in_the_seeds_counts():
+    rng = np.random.default_rng(4)
+    shared = rng.integers(0, 1 << 63, 60).astype(np.uint64)
+    a, b = (np.concatenate((rng.integers(0, 1 << 63, 200).astype(np.uint64), shared)) for _ in range(2))
+    far = [(0, 100 + i, 215 + i % 2, 260, 0, 130 - i, 260) for i in range(80)]
+    seeds = [(0, 200, 210, 260, 200, 210, 260), *far, (1, 200, 230, 260, 200, 230, 260)]
+    assert [p[:4] for p in substring.passages(a, b, seeds)] == [(200, 264, 200, 264)]
+
+
 def test_wrapped_notices_are_confirmed(spark):
     mit = "Some words before it\n\nPermission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation\nfiles (the Software), to deal in the Software\n\nother words"
     bsd = "/*\n * Redistribution and use in source and binary forms,\n * with or without modification, are permitted provided\n * that the following conditions are met:\n */"
