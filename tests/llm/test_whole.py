@@ -35,6 +35,30 @@ def test_lines_with_an_edit_are_removed(spark):
         assert sum(got[2 * i + 1] for i in range(len(pairs))) >= least * len(pairs)
 
 
+def test_sketches_of_lines_go_before_lines_meet(spark, monkeypatch):
+    held, during = {}, []
+    written, gone, link_lines = linededup.stash, linededup.discard, linededup.link
+
+    def stash_named(df, name):
+        out = written(df, name)
+        held[out._stash] = name
+        return out
+
+    def discard_named(*tables):
+        for t in tables:
+            held.pop(getattr(t, "_stash", None), None)
+        gone(*tables)
+
+    def link_seen(*given):
+        during.extend(held.values())
+        return link_lines(*given)
+
+    for name, f in (("stash", stash_named), ("discard", discard_named), ("link", link_seen)):
+        monkeypatch.setattr(linededup, name, f)
+    assert _lines(spark, ["one two three four", "one two three five\none two three four"]) in ({0: 0, 1: 2}, {0: 0, 1: 1})
+    assert "line-places" in during and not {"lines", "line-keys"} & set(during)
+
+
 def test_every_alike_pair_of_a_bucket_is_linked(spark):
     # In bucket k, nodes 1000 k + 1 to 1000 k + 60 are unlike but for two pairs; bucket 9 also has 500 alike ones.
     rows = [(k, 1000 * k + i) for k in range(10) for i in range(1, 61)] + [(9, 100_000 + i) for i in range(500)]
