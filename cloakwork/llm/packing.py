@@ -18,6 +18,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,6 @@ from pyspark.sql import types as T
 from cloakwork.llm.scratch import partitions, stash
 
 WIDTH = 1024
-#: Entries of a worker's memo of word pieces: about 100 MB.
-MEMO = 400_000
 
 PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()),
@@ -50,10 +49,9 @@ class Ids:
     """Token ids of whole texts, as little-endian unsigned 32-bit bytes, equal to those of `tokenizers`.
 
     The vocabulary file is that of `tokenizers`; its byte-level merges run in tiktoken, several times
-    faster, and each space-delimited chunk is encoded once and remembered. A space before a character
-    that is no white space always starts a new pre-token, so chunks can be encoded alone; a text with
-    other white space than single spaces and line feeds between chunks is encoded in one call. Added tokens
-    (such as an end-of-text mark) are cut out first, wherever they stand in a text, and have their own id.
+    faster, in one call a text: remembering the ids of words costs more than it spares, as so many words
+    are rare. Added tokens (such as an end-of-text mark) are cut out first, wherever they stand in a text,
+    and have their own id.
     """
 
     def __init__(self, path: str):
@@ -68,38 +66,24 @@ class Ids:
         byte_of |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in byte_of.values())}
         ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary["model"]["vocab"].items() if token not in special}
         self._bpe = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self._memo: dict[str, bytes] = {}
-        self._feed = self._encode("\n")
         self._special = {k: int(v).to_bytes(4, "little") for k, v in special.items()}
         self._marks = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
     def _encode(self, text: str) -> bytes:
         return self._bpe.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
-    def _chunk(self, text: str) -> bytes:
-        found = self._memo.get(text)
-        if found is None:
-            found = self._encode(text)
-            if len(self._memo) < MEMO and len(text) < 40:
-                self._memo[text] = found
-        return found
-
     def of(self, text: str | None) -> bytes:
         if not text:
             return b""
         if self._marks is not None and any(k in text for k in self._special):
-            return b"".join([self._special[part] if part in self._special else self._plain(part) for part in self._marks.split(text) if part])
-        return self._plain(text)
+            return b"".join([self._special[part] if part in self._special else self._encode(part) for part in self._marks.split(text) if part])
+        return self._encode(text)
+
 
-    def _plain(self, text: str) -> bytes:
-        lines = text.split("\n")
-        out = []
-        for line in lines:
-            chunks = line.split(" ")
-            if any(not c or c[0].isspace() or c[-1].isspace() for c in chunks):
-                return self._encode(text)
-            out.append(self._chunk(chunks[0]) + b"".join([self._chunk(" " + c) for c in chunks[1:]]))
-        return self._feed.join(out)
+@lru_cache(2)
+def coder_of(vocabulary: str) -> Ids:
+    """One coder serves all tasks of a worker."""
+    return Ids(vocabulary)
 
 
 def pieces(docs: DataFrame, vocabulary: str, width: int = WIDTH, with_ids: bool = False) -> DataFrame:
@@ -107,7 +91,7 @@ def pieces(docs: DataFrame, vocabulary: str, width: int = WIDTH, with_ids: bool
     schema = T.StructType([*PIECES.fields, *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])])
 
     def cut(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Ids(vocabulary)
+        coder = coder_of(vocabulary)
         for batch in source:
             rows: list[list] = [[], [], [], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):

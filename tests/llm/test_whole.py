@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from cloakwork.llm import ann, licenses, linededup, minhash, pii, substring
+from cloakwork.llm import ann, licenses, linededup, minhash, packing, pii, substring
 from cloakwork.llm.graph import link
 from cloakwork.llm.scratch import stash
 
@@ -199,3 +199,19 @@ def test_the_index_finds_the_nearest(spark):
         hits += len(set(ids[best]) & {v for _, v, _ in own})
         total += 20
     assert hits >= 0.9 * total, hits / total
+
+
+def test_a_text_is_encoded_in_one_call(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = packing.default_vocabulary()
+    library, own, calls = Tokenizer.from_file(path), packing.Ids(path), []
+    monkeypatch.setattr(own, "_encode", lambda text, encode=own._encode: calls.append(text) or encode(text))
+    rng = random.Random(11)
+    for _ in range(50):
+        parts = ["".join(rng.choices("abcdeñé12.,'*", k=rng.randint(1, 9))) + rng.choice([" ", " ", " ", "\n", "  ", "\t", " "]) for _ in range(200)]
+        calls.clear()
+        text = "".join(parts)
+        assert own.of(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert calls == [text]
+    assert packing.coder_of(path) is packing.coder_of(path)
