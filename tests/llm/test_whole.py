@@ -215,3 +215,22 @@ def test_a_text_is_encoded_in_one_call(monkeypatch):
         assert own.of(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         assert calls == [text]
     assert packing.coder_of(path) is packing.coder_of(path)
+
+
+def test_seeds_come_from_stored_windows_and_covered_ones_change_nothing():
+    rng = random.Random(13)
+    common = [f"w{rng.randrange(400)}" for _ in range(90)]
+    texts = [" ".join([f"{k}x{rng.randrange(900)}" for _ in range(60)] + (common + [f"{k}y"]) * times + [f"{k}z{rng.randrange(900)}" for _ in range(60)]) for k, times in enumerate((1, 3, 6))]
+    bases, kept = [substring.runs(next(substring.words_of([t])), substring.SHINGLE) for t in texts], []
+    for base in bases:
+        rows = [(int((v[c] ^ substring.U64(j)).view(np.int64)), j, left, c, right) for j in range(substring.HASHES) for v in [substring.hashed(base, j)] for left, c, right in substring.compact_windows(v, 46)]
+        key, j, left, c, right = (np.array(x, np.int64) for x in zip(*rows))
+        kept.append((rows, substring.in_order(key, (j << 48) | c, (left << 32) | right)))
+    for x, y in ((0, 1), (1, 2), (2, 2), (0, 0)):
+        seeds = substring.all_seeds(kept[x][1], kept[y][1])
+        wanted = {(*a[1:], *b[2:]) for a in kept[x][0] for b in kept[y][0] if a[0] == b[0]}
+        assert set(map(tuple, seeds.tolist())) <= wanted and len(seeds)
+        found = substring.passages(bases[x], bases[y], seeds)
+        # Seeds given twice, or in another order of their functions, lie in passages that are known already.
+        assert found and found == substring.passages(bases[x], bases[y], np.concatenate((seeds, seeds)))
+        assert all(substring.jaccard(bases[x][s : e - 4], bases[y][t : f - 4]) == v >= 0.8 for s, e, t, f, v in found)
