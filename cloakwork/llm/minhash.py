@@ -6,7 +6,9 @@
 2. A second pass draws BANDS x ROWS consistent samples of each text; equal samples of two texts are as
    likely as their weighted Jaccard similarity. Bands of samples are bucket keys.
 3. Equal texts are one node from the start. Nodes that share a bucket and agree in AGREE samples are candidates
-   (see graph.link) and are verified by the weighted Jaccard similarity of the whole texts, at least SIMILARITY. keep_first keeps
+   (see graph.link) and are verified by the weighted Jaccard similarity of the whole texts, at least SIMILARITY. In
+   the last turn the shingles that no other text of that turn has are weighed: what two texts share weighs at most
+   as much as the rest of either, and pairs that cannot reach SIMILARITY with that are left out. keep_first keeps
    one row of each class, the one with the smallest doc_id, then text, and all rows without a text.
 
 Cases: a null text is its own class; texts without words are near no other, but equal ones are one class;
@@ -28,8 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakwork.llm.graph import crowded, link
-from cloakwork.llm.scratch import body, rest, restored, stash
+from cloakwork.llm.graph import crowded, link, share, shares
+from cloakwork.llm.scratch import body, discard, rest, restored, stash, stash_all
 from cloakwork.llm.textkit import U64, mix, shingles, slices, words_of
 
 SIMILARITY = 0.8
@@ -40,6 +42,8 @@ DEPTH = 2
 WIDTH = 18
 #: Samples in which candidates agree, of all BANDS x ROWS: texts as alike as SIMILARITY do with probability 0.997.
 AGREE = 18
+#: Far more than sums of weights in another order differ.
+SLIP = 1e-6
 _FAN = 64
 
 
@@ -231,7 +235,41 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
         return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(alike, "a binary, b binary")
 
-    roots = link(buckets, verify, "near", "mark", agree)
+    def hopeful(nodes: DataFrame) -> DataFrame:
+        """(node, hope): its weight in all (whole) and in shingles that another of the nodes has (common), where that may be enough."""
+
+        def weighted(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            weigher = Weigher(*shared.value)
+            for batch in slices(source, 128):
+                own = [weigher.of(words) for words in words_of(batch.column("text").to_pylist())]
+                owner = np.repeat(np.arange(len(own)), [len(keys) for keys, _ in own])
+                keys, weights = (pa.array(np.concatenate(x)) for x in ([k.view(np.int64) for k, _ in own], [w for _, w in own]))
+                wholes = pa.array(np.array([w.sum() for _, w in own])[owner])
+                yield pa.RecordBatch.from_arrays([keys, batch.column("node").take(pa.array(owner)), weights, wholes], names=["key", "node", "weight", "whole"])
+
+        held = stash(bodies.join(nodes, "node", "left_semi").select("node", "text"), "near-open-bodies")
+        letters = held.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+        n = shares(int(letters) // 8)
+        grams = held.mapInArrow(weighted, "key bigint, node binary, weight double, whole double")
+        one = F.struct("node", "weight", "whole")
+        # Of a key that one text has, that text's row; of others nothing is needed.
+        alone = (share(grams, i, n).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.first(one).alias("x")).filter("n = 1").groupBy("x.node").agg(F.sum("x.weight").alias("alone"), F.first("x.whole").alias("whole")) for i in range(n))
+        alone = stash_all(alone, "near-alone")
+        per = alone.groupBy("node").agg(F.sum("alone").alias("alone"), F.first("whole").alias("whole"))
+        # Texts without a shingle of their own have no row, and nothing is known of them.
+        hope = F.when(F.col("whole").isNotNull(), F.struct((F.col("whole") - F.col("alone")).alias("common"), "whole"))
+        out = held.select("node").join(per, "node", "left").filter(F.col("whole").isNull() | (F.col("whole") - F.col("alone") >= (least - SLIP) * F.col("whole")))
+        out = stash(out.select("node", hope.alias("hope")), "near-hopeful")
+        discard(held, alone)
+        return out
+
+    def able(a: str, b: str) -> Column:
+        """Whether two texts can be alike enough if they share as much as they may."""
+        common = F.least(f"{a}.common", f"{b}.common")
+        enough = common >= (least - SLIP) * (F.col(f"{a}.whole") + F.col(f"{b}.whole") - common)
+        return F.coalesce(enough, F.lit(True))
+
+    roots = link(buckets, verify, "near", "mark", agree, hopeful=hopeful, able=able)
     rows = stash(signed.select("doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     first = rows.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("class_id"))
     return rows.join(first, "root", "left").select("doc_id", "node", "root", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))

@@ -234,3 +234,31 @@ def test_seeds_come_from_stored_windows_and_covered_ones_change_nothing():
         # Seeds given twice, or in another order of their functions, lie in passages that are known already.
         assert found and found == substring.passages(bases[x], bases[y], np.concatenate((seeds, seeds)))
         assert all(substring.jaccard(bases[x][s : e - 4], bases[y][t : f - 4]) == v >= 0.8 for s, e, t, f, v in found)
+
+
+def test_near_copies_with_too_much_of_their_own_are_not_compared(spark, monkeypatch):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6))
+    original, texts, compared = [word() for _ in range(300)], [], []
+    for _ in range(80):
+        own = list(original)
+        for at in rng.sample(range(5, 295), 3):
+            own[at] = word()
+        texts.append(own)
+    # Two of them have a copy each with one more word.
+    texts += [texts[7] + [word()], texts[30] + [word()]]
+    own_link = minhash.link
+
+    def link_seen(buckets, verify, *given, **more):
+        def counted(pairs):
+            compared.append(pairs.count())
+            return verify(pairs)
+
+        return own_link(buckets, counted, *given, **more)
+
+    monkeypatch.setattr(minhash, "link", link_seen)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {r.doc_id: r.class_id for r in minhash.classes(docs).collect()}
+    assert got == {i: {80: 7, 81: 30}.get(i, i) for i in range(82)}
+    # The last turn has some 1 800 pairs that agree in enough samples; few of them can be alike.
+    assert compared[-1] < 300, compared
