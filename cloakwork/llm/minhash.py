@@ -271,6 +271,8 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
     roots = link(buckets, verify, "near", "mark", agree, hopeful=hopeful, able=able)
     rows = stash(signed.select("doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    # Of these only the rows are read again: what stays on disk would stay through the stages that follow.
+    discard(signed, bodies)
     first = rows.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("class_id"))
     return rows.join(first, "root", "left").select("doc_id", "node", "root", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 

@@ -1,5 +1,6 @@
 """Operators do their whole job where an earlier version left part of it out."""
 
+import os
 import random
 
 import numpy as np
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cloakwork.llm import ann, licenses, linededup, minhash, packing, pii, substring
 from cloakwork.llm.graph import link
-from cloakwork.llm.scratch import stash
+from cloakwork.llm.scratch import shared_dir, stash
 
 
 def _lines(spark, texts):
@@ -262,3 +263,14 @@ def test_near_copies_with_too_much_of_their_own_are_not_compared(spark, monkeypa
     assert got == {i: {80: 7, 81: 30}.get(i, i) for i in range(82)}
     # The last turn has some 1 800 pairs that agree in enough samples; few of them can be alike.
     assert compared[-1] < 300, compared
+
+
+def test_tables_that_only_a_search_reads_do_not_outlive_it(spark):
+    folder = shared_dir(spark).removeprefix("file://")
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+    docs = spark.createDataFrame([(1, words), (2, words + " nu"), (3, "one two three four\n" + words)], "doc_id bigint, text string")
+    earlier = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    kept = minhash.keep_first(linededup.clean(docs))
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - earlier}
+    assert "rooted" in left and not {"signed", "bodies", "line-places", "line-bodies"} & left
+    assert kept.count() == len({r.text for r in kept.collect()}) >= 1
