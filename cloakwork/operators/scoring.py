@@ -7,9 +7,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cloakwork.operators.dealing import tasks_for
+
 CHUNK, LEAST = 3000, 400
 
 
@@ -148,10 +150,21 @@ def threshold_sweep(gold: DataFrame, rules: DataFrame, model: DataFrame, thresho
 
 
 def observations(gold: DataFrame, found: DataFrame) -> DataFrame:
-    """One row per gold span (doc_id, type, start, end): whether a found span of its type overlaps it."""
-    f = found.select(F.col("doc_id").alias("_d"), F.col("type").alias("_t"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    hit = gold.join(f, (F.col("doc_id") == F.col("_d")) & (F.col("type") == F.col("_t")) & (F.col("start") < F.col("_e")) & (F.col("_s") < F.col("end")), "left")
-    return hit.groupBy("doc_id", "type", "start", "end").agg(F.max(F.col("_d").isNotNull()).alias("found"))
+    """One row per gold span (doc_id, type, start, end): whether a found span of its type overlaps it.
+
+    In one pass over each document's spans, gold ones at their ends and found ones at their starts: of the found spans that start
+    before a gold one ends, the farthest end tells.
+    """
+    kinds = dict(gold.dtypes)
+    g = gold.select("doc_id", "type", "start", "end", F.col("end").alias("_at"), F.lit(0).alias("_found"), F.lit(None).cast(dict(found.dtypes)["end"]).alias("_e"))
+    f = found.filter("doc_id IS NOT NULL AND type IS NOT NULL AND start IS NOT NULL AND end IS NOT NULL")
+    f = f.select("doc_id", "type", *(F.lit(None).cast(kinds[c]).alias(c) for c in ("start", "end")), F.col("start").alias("_at"), F.lit(1).alias("_found"), F.col("end").alias("_e"))
+    in_order = Window.partitionBy("doc_id", "type").orderBy("_at", "_found", "start")
+    row = F.struct("_found", "start", "end")
+    rows = g.unionByName(f).repartition(tasks_for(g, f), "doc_id")
+    rows = rows.select("*", F.max("_e").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_far"), F.lag(row).over(in_order).eqNullSafe(row).alias("_again"))
+    spans = rows.filter("_found = 0 AND NOT _again")
+    return spans.select(*(F.col(c).cast(kinds[c]).alias(c) for c in ("doc_id", "type", "start", "end")), F.coalesce(F.col("_far") > F.col("start"), F.lit(False)).alias("found"))
 
 
 def adjudication_items(hits: DataFrame, known: DataFrame, contexts: int = 3) -> DataFrame:
