@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cloakwork.operators.dealing import tasks_for
+
 #: Own choice: fields, their shape and range.
 FIELDS = {"depth": (r"^[0-9]{1,4}([.,][0-9]{1,2})?$", 0.0, 5000.0), "percent": (r"^[0-9]{1,3}([.,][0-9]{1,2})?$", 0.0, 100.0), "year": (r"^[0-9]{4}$", 1900.0, 2100.0), "count": (r"^[0-9]{1,4}$", 0.0, 9999.0)}
 #: Letters that recognisers read for digits, and those digits.
@@ -97,7 +99,8 @@ def group_boxes(boxes: DataFrame, gap: int = 55, overlap: float = 0.5) -> DataFr
 
 def attach_to_rulings(values: DataFrame, rulings: DataFrame, above: int = 60) -> DataFrame:
     """Values (page, id, x0, x1, y1) to the nearest ruling (page, rid, rx0, rx1, ry) below that they overlap; null if none."""
-    r = rulings.withColumnRenamed("page", "_p")
+    n = tasks_for(values, rulings)
+    values, r = values.repartition(n, "page"), rulings.withColumnRenamed("page", "_p").repartition(n, "_p")
     near = values.join(r, (F.col("page") == F.col("_p")) & (F.col("x0") < F.col("rx1")) & (F.col("rx0") < F.col("x1")) & (F.col("ry") - F.col("y1")).between(-5, above), "left")
     return near.groupBy("page", "id").agg(F.min_by("rid", F.abs(F.col("ry") - F.col("y1"))).alias("rid"))
 

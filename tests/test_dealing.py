@@ -4,7 +4,7 @@ import itertools
 
 from pyspark.sql import functions as F
 
-from cloakwork.operators import scoring
+from cloakwork.operators import ocr, scoring
 from cloakwork.operators.dealing import LEAST_ROWS, TASK_ROWS, tasks_for
 
 SPANS = "doc_id bigint, type string, start int, end int"
@@ -33,3 +33,10 @@ def test_observations_of_odd_spans(spark):
 def test_observations_task_does_not_grow(spark):
     spans = spark.range(6 * TASK_ROWS).select(F.col("id").alias("doc_id"), F.lit("N").alias("type"), F.lit(0).alias("start"), F.lit(5).alias("end"))
     assert largest(scoring.observations(spans, spans.filter("doc_id % 2 = 0"))) < TASK_ROWS
+
+
+def test_rulings_task_does_not_grow(spark):
+    values = spark.range(6 * TASK_ROWS).select(F.col("id").alias("page"), F.lit(1).alias("id"), F.lit(0).alias("x0"), F.lit(9).alias("x1"), F.lit(100).alias("y1"))
+    rulings = spark.range(6 * TASK_ROWS).select(F.col("id").alias("page"), F.lit(7).alias("rid"), F.lit(0).alias("rx0"), F.lit(9).alias("rx1"), F.lit(110).alias("ry"))
+    near = ocr.attach_to_rulings(values, rulings)
+    assert largest(near) < TASK_ROWS and near.agg(F.sum("rid")).first()[0] == 7 * 6 * TASK_ROWS
